@@ -104,3 +104,28 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 def salted_count_distinct(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
     """Distinct values per key by first removing duplicates on (key, value), which spreads hot keys."""
     return df.select(*keys, column).distinct().groupBy(*keys).agg(F.count(column).alias(alias))
+
+
+def run_length(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], hit: Column, reset: Column,
+               alias: str) -> DataFrame:
+    """Hits since the last reset, along the order, in one two-level pass.
+
+    Inside a bucket it is the running hit count minus its value at the last reset; earlier buckets
+    contribute their hit total and the (global) hit count at their last reset.
+    """
+    keys = list(keys)
+    h = F.when(hit, 1).otherwise(0).cast("long")
+    base = df.withColumn("_bkt", bucket)
+    upto = W.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = base.withColumn("_f", F.sum(h).over(upto)).withColumn("_m", F.max(F.when(reset, F.col("_f"))).over(upto))
+    per = local.groupBy(*keys, "_bkt").agg(F.max("_f").alias("_tf"), F.max("_m").alias("_tm"))
+    earlier = W.partitionBy(*keys).orderBy("_bkt").rowsBetween(W.unboundedPreceding, -1)
+    off = per.withColumn("_o", F.coalesce(F.sum("_tf").over(earlier), F.lit(0)))
+    off = off.withColumn("_p", F.max(F.col("_o") + F.col("_tm")).over(earlier))
+    off = off.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bkt").alias("_k_bkt"), "_o", "_p")
+    cond = F.col("_bkt").eqNullSafe(F.col("_k_bkt"))
+    for k in keys:
+        cond = cond & local[k].eqNullSafe(F.col(f"_k_{k}"))
+    total = F.col("_o") + F.col("_f")
+    last = F.coalesce(F.greatest(F.col("_p"), F.col("_o") + F.col("_m")), F.lit(0))
+    return local.join(off, cond).select(*df.columns, (total - last).alias(alias))

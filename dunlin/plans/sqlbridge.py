@@ -70,6 +70,25 @@ CTES: dict[str, str] = {
           case when k % 2 = 0 then at_ts - interval 2 day end as predebit_notice_at,
           case when k % 31 = 0 then k % 28 + 1 end as scheduled_debit_day
         from presentations where not succeeded""",
+    "wire": f"""
+        select p.*, f.decline_code as code, f.advice_code as advice, 'evt_' || p.event_id as eid, cast(floor(epoch_us(p.at_ts) / 1000000) as bigint) as sec,
+          case when p.k % 47 = 3 then 'mystery' when p.k % 19 = 1 and not p.succeeded then 'billing' else p.source end as src,
+          p.k % 43 = 2 as broken, p.k % 37 = 0 as tampered, p.k % 41 = 1 as old, c.copy, p.event_id * 2 + c.copy as archive_id
+        from presentations p left join failures f on p.event_id = f.event_id
+        join (select 0 as copy union all select 1) c on c.copy = 0 or p.k % 10 = 0""",
+    "judged": """
+        select *, case when src = 'mystery' then 'unknown_source' when tampered then 'signature_invalid' when old then 'signature_stale'
+            when broken then 'malformed' else 'accepted' end as pre,
+          case when not succeeded and k % 19 = 0 and src = 'pgw' then 'checkout_abandoned' when src = 'billing' then 'invoice_overdue'
+            when succeeded then 'debit_captured' else 'debit_failed' end as kind,
+          case src when 'pgw' then 'card' when 'npci_nach' then 'enach' when 'billing' then 'invoice' else 'upi_autopay' end as wire_rail,
+          to_timestamp(case when src = 'npci_nach' then sec + copy * 60 else sec end)::timestamp as event_ts
+        from wire""",
+    "admitted": """
+        select *, case when pre = 'accepted' and archive_id > min(case when pre = 'accepted' then archive_id end) over (partition by src, eid)
+            then 'duplicate' else pre end as verdict
+        from judged""",
+    "accepted": "select * from admitted where verdict = 'accepted'",
     "claims": f"""
         select 'clm-' || lpad(cast(o_orderkey as varchar), 12, '0') as claim_id, o_orderkey as claim_no, o_custkey as cust,
           {token('o_custkey')} as subject_token, cast(round(o_totalprice * 100) as bigint) as amount_paise,

@@ -67,3 +67,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, source_dir: str, name: str, build) -> DataFrame:
+    """A stage's output table: written once per application and input folder, then read by every
+    query that starts from it (columnar, so each reads only its own columns)."""
+    key = (spark.sparkContext.applicationId, source_dir, name)
+    if key not in _STAGED:
+        _STAGED[key] = materialise(build(), name)
+    return _STAGED[key]

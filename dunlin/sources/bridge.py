@@ -239,3 +239,75 @@ def outbox(spark: SparkSession, d: str) -> DataFrame:
         times.add_seconds(at, ((n % 37) - 20) * 300.0 - 900.0).alias("cert_valid_from"),
         times.add_seconds(at, ((n % 37) - 20) * 300.0 + 900.0).alias("cert_valid_until"),
         F.concat_ws(":", F.col("claim_id"), act).alias("idempotency_key"))
+
+
+SECRETS = {"pgw": b"pgw-secret-0123456789", "npci_nach": b"nach-secret-012345678", "upi_autopay": b"upi-secret-0123456789",
+           "billing": b"billing-secret-012345"}
+
+
+def _rec(*cols: Column) -> Column:
+    """Struct whose field names are literals taken from the column aliases."""
+    parts = []
+    for c in cols:
+        text = c._jc.toString() if hasattr(c, "_jc") else str(c)
+        parts += [F.lit(text.rsplit(" AS ", 1)[-1].strip("`")), c]
+    return F.named_struct(*parts)
+
+
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Signed wire bodies in four dialects built from the events, with planted faults.
+
+    Some are delivered twice, some are tampered with after signing, some carry an old signature,
+    some are not JSON, and some come from a source nobody knows.
+    """
+    p = presentations(spark, d)
+    k, n = F.col("k"), F.col("event_id")
+    code = decline_code()
+    p = p.withColumn("code", code).withColumn("advice", advice_code())
+    p = p.withColumn("src", F.when(k % 47 == 3, "mystery").when((k % 19 == 1) & ~F.col("succeeded"), "billing").otherwise(F.col("source")))
+    user = F.col("user_id").cast("string")
+    sec = F.unix_seconds("at_ts")
+    name, phone = F.concat(F.lit("Holder "), user), F.concat(F.lit("98"), F.lpad(user, 8, "0"))
+    email = F.concat(F.lit("u"), user, F.lit("@example.com"))
+    notes = _rec(F.col("account_ref").alias("account_id"), (k % 3).alias("attempt"),
+                     F.when(k % 4 == 0, "gateway").when(k % 4 == 1, "merchant").alias("initiated_by"))
+    eid = F.concat(F.lit("evt_"), n.cast("string"))
+    cust = _rec(F.concat(F.lit("cust_"), user).alias("id"), name.alias("name"), email.alias("email"), phone.alias("contact"))
+    entity = _rec(eid.alias("id"), F.col("amount_paise").alias("amount"), F.when(F.col("succeeded"), "captured").otherwise("failed").alias("status"),
+                      _rec(F.lpad(user, 4, "0").alias("last4"), F.lit("visa").alias("network"), F.col("issuer_ref").alias("issuer")).alias("card"),
+                      F.col("code").alias("error_reason"), F.lit("declined by bank").alias("error_description"),
+                      F.col("advice").alias("merchant_advice_code"), cust.alias("customer"), notes.alias("notes"))
+    checkout = ~F.col("succeeded") & (k % 19 == 0)
+    pgw = F.to_json(_rec(
+        F.when(F.col("succeeded"), "payment.captured").when(checkout, "checkout.abandoned").otherwise("payment.failed").alias("event"),
+        sec.alias("created_at"), _rec(F.when(~checkout, entity).alias("payment"), F.when(checkout, entity).alias("order")).alias("payload")))
+    rupees = (F.col("amount_paise") / 100).cast("decimal(18,2)").cast("string")
+    nach = F.to_json(_rec(
+        F.when(F.col("succeeded"), "ACH_DR_SETTLED").otherwise("ACH_DR_RETURN").alias("message_type"), F.concat(F.lit("UMRN"), user).alias("umrn"),
+        eid.alias("transaction_id"), F.date_format("at_ts", "yyyy-MM-dd").alias("settlement_date"), rupees.alias("amount"),
+        F.col("code").alias("return_code"), F.col("issuer_ref").alias("destination_bank"),
+        _rec(name.alias("name"), F.lpad(user, 4, "0").alias("account_last4"), F.lit("ABCD0123456").alias("ifsc"), phone.alias("mobile")).alias("customer"),
+        F.concat(F.lit("ACH DR RTN CHG "), user).alias("narration"), notes.alias("reference")))
+    upi = F.to_json(_rec(
+        F.when(F.col("succeeded"), "autopay.debit.success").otherwise("autopay.debit.failed").alias("event"), F.concat(F.lit("UMRN"), user).alias("mandate_id"),
+        eid.alias("txn_id"), F.date_format("at_ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"), F.col("amount_paise"),
+        F.col("code").alias("npci_error_code"), F.lit("bank says no").alias("npci_error_desc"), F.col("issuer_ref").alias("issuer"),
+        _rec(F.concat(F.lit("u"), user, F.lit("@upi")).alias("vpa"), name.alias("name"), phone.alias("mobile")).alias("payer"), notes.alias("ref")))
+    billing = F.to_json(_rec(
+        F.lit("invoice.overdue").alias("type"), sec.alias("created_at"),
+        _rec(eid.alias("id"), rupees.alias("amount_due"), F.date_format("at_ts", "yyyy-MM-dd").alias("due_date"), (k % 60).alias("days_overdue"),
+                 F.when(k % 60 < 30, "0-30").otherwise("31-60").alias("ageing_bucket"),
+                 _rec(name.alias("name"), email.alias("email"), phone.alias("contact"), F.lit("27ABCDE1234F1Z5").alias("gstin")).alias("buyer")).alias("invoice"),
+        notes.alias("ref")))
+    body = (F.when(k % 43 == 2, F.lit("{broken")).when(F.col("src") == "npci_nach", nach).when(F.col("src") == "upi_autopay", upi)
+            .when(F.col("src") == "billing", billing).otherwise(pgw))
+    rows = p.select(n.alias("event_no"), F.col("src").alias("source"), "k", body.alias("body"), sec.alias("sec"),
+                    F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    stamp = (F.col("sec") + F.col("copy") * 60 - F.when(k % 41 == 1, 3 * 86400).otherwise(0)).cast("string")
+    signed = F.concat(F.col("body"), F.when(k % 37 == 0, " ").otherwise(""))
+    digest = F.lit("0" * 64)
+    for s, secret in SECRETS.items():
+        digest = F.when(F.col("source") == s, hashing.hmac_sha256(secret, F.encode(F.concat(stamp, F.lit("."), signed), "utf-8"))).otherwise(digest)
+    return rows.select((F.col("event_no") * 2 + F.col("copy")).alias("archive_id"), "source", F.encode("body", "utf-8").alias("raw"),
+                       F.concat(F.lit("t="), stamp, F.lit(",v1="), digest).alias("signature"),
+                       F.timestamp_seconds(F.col("sec") + F.col("copy") * 60 + 30).alias("received_at"))
