@@ -140,18 +140,22 @@ def subject_totals(claims: DataFrame) -> DataFrame:
         F.max_by("rail", F.struct(F.col("amount_paise"), (-F.col("position")).alias("p"))).alias("rail"))
 
 
-def decile_cutoffs(totals: DataFrame, column: str = "total_paise", tie: str | None = None) -> list[int]:
-    """The nine exact order statistics at positions min(n-1, i·n div 10) of the sorted values.
+def decile_positions(totals: DataFrame, column: str) -> DataFrame:
+    """(i, value): the nine exact order statistics at positions min(n-1, i·n div 10) of the sorted values.
 
     Exact ranks come from value counts (one row per distinct value, partially aggregated) and a
-    two-level running count; only nine values reach the driver.
+    two-level running count.
     """
     counts = totals.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
     ranked = scale.running(counts, [], scale.value_bucket(counts, column), [F.col(column)], sums={"_hi": F.col("_c")}, totals={"_n": F.col("_c")})
     wanted = F.array(*[F.least(F.col("_n") - 1, F.floor(F.lit(i) * F.col("_n") / 10).cast("long")) for i in range(1, 10)])
-    picked = ranked.select(column, F.col("_hi"), F.col("_c"), F.posexplode(wanted).alias("i", "pos")) \
-        .filter((F.col("pos") < F.col("_hi")) & (F.col("pos") >= F.col("_hi") - F.col("_c"))).orderBy("i").select(column)
-    values = [r[0] for r in picked.collect()]  # nine rows
+    return ranked.select(column, F.col("_hi"), F.col("_c"), F.posexplode(wanted).alias("p", "pos")) \
+        .filter((F.col("pos") < F.col("_hi")) & (F.col("pos") >= F.col("_hi") - F.col("_c"))).select((F.col("p") + 1).alias("i"), column)
+
+
+def decile_cutoffs(totals: DataFrame, column: str = "total_paise") -> list[int]:
+    """The nine cut-offs as literals (nine rows are all that reaches the driver)."""
+    values = [r[column] for r in decile_positions(totals, column).orderBy("i").collect()]
     return values if values else [0] * 9
 
 

@@ -291,9 +291,7 @@ def a05(spark, d):
 
 @query("w12_decile_cutoffs", f"with {_TOTALS}, {_CUTS} select cast(i as bigint) as i, cut from cuts")
 def w12(spark, d):
-    cuts = ingest.decile_cutoffs(portfolio_totals(spark, d))
-    base = table(spark, d, "region").limit(1)   # carrier of the nine values found above
-    return base.select(F.posexplode(F.array(*[F.lit(int(c)).cast("long") for c in cuts])).alias("p", "cut")).select((F.col("p") + 1).cast("long").alias("i"), "cut")
+    return ingest.decile_positions(portfolio_totals(spark, d), "total_paise").select(F.col("i").cast("long").alias("i"), F.col("total_paise").alias("cut"))
 
 
 @query("n05_strata", f"with {_STRATA} select subject_token, claim_bucket, cast(value_decile as bigint) as value_decile, stratum from keyed")
@@ -330,9 +328,9 @@ def j24(spark, d):
 @query("u07_distinct_subjects", "select count(distinct subject_token) as subjects, count(distinct rail || claim_type) as kinds from claims")
 def u07(spark, d):
     c = B.claims(spark, d)
-    s = c.select("subject_token").distinct().agg(F.count(F.lit(1)).alias("subjects"))
-    k = c.select("rail", "claim_type").distinct().agg(F.count(F.lit(1)).alias("kinds"))
-    return s.join(F.broadcast(k), F.lit(True))
+    both = c.select(F.inline(F.array(F.struct(F.lit("s").alias("what"), F.col("subject_token").alias("v")),
+                                     F.struct(F.lit("k").alias("what"), F.concat("rail", "claim_type").alias("v"))))).distinct()
+    return both.agg(F.count_if(F.col("what") == "s").alias("subjects"), F.count_if(F.col("what") == "k").alias("kinds"))
 
 
 @query("w15_next_record_seq", """
