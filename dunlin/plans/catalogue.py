@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
 from dunlin.plans.registry import ORACLES, QUERIES  # noqa: F401
-from dunlin.plans import q_diagnosis, q_functions, q_ingest  # noqa: F401
+from dunlin.plans import q_diagnosis, q_functions, q_ingest, q_rules  # noqa: F401

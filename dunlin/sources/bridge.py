@@ -6,6 +6,8 @@ column pruning reach the parquet scan.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,9 +145,17 @@ def subjects(spark: SparkSession, d: str) -> DataFrame:
         ).alias("flags"))
 
 
-def contacts(spark: SparkSession, d: str) -> DataFrame:
-    """Shipped lines as outbound contacts with the customer of the order."""
+def contacts(spark: SparkSession, d: str, since_hours: float | None = None) -> DataFrame:
+    """Shipped lines as outbound contacts with the customer of the order.
+
+    ``since_hours`` keeps the contacts from so long before the decision moment up to a quarter hour
+    after it, as a filter on the stored date.
+    """
     li = table(spark, d, "lineitem")
+    if since_hours is not None:
+        base = datetime.fromisoformat(AT) - timedelta(days=SHIFT_DAYS)
+        lo, hi = base - timedelta(hours=since_hours), base + timedelta(minutes=15)
+        li = li.filter((F.col("l_shipdate") >= F.lit(str(lo)).cast("timestamp")) & (F.col("l_shipdate") < F.lit(str(hi)).cast("timestamp")))
     o = table(spark, d, "orders")
     ch = F.get(F.array(*map(F.lit, ["voice", "whatsapp", "sms", "email"])), F.col("l_linenumber") % 4)
     out = F.when(F.col("l_returnflag") == "R", "no_answer").when(F.col("l_returnflag") == "A", "connected").otherwise("delivered")
@@ -311,3 +321,35 @@ def deliveries(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("event_no") * 2 + F.col("copy")).alias("archive_id"), "source", F.encode("body", "utf-8").alias("raw"),
                        F.concat(F.lit("t="), stamp, F.lit(",v1="), digest).alias("signature"),
                        F.timestamp_seconds(F.col("sec") + F.col("copy") * 60 + 30).alias("received_at"))
+
+
+def gate_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims with the claim-level facts the rules and the effect surface look at."""
+    c, n, at = claims(spark, d), F.col("claim_no"), at_lit()
+    return c.select(
+        "*",
+        F.when(n % 7 != 0, F.lit(40000000).cast("long")).alias("mandate_cap_paise"),
+        F.when(n % 5 == 1, times.add_seconds(at, -36000.0)).when(n % 5 > 1, times.add_seconds(at, -108000.0)).alias("predebit_notice_at"),
+        F.get(F.array(*map(F.lit, ["lost_or_stolen", "account_closed", "stop_payment", "do_not_honour"])), (n % 11).cast("int")).alias("_dc"),
+        F.when(n % 13 == 0, "MAC03").when(n % 13 == 1, " r08 ").when(n % 13 == 2, "XX").alias("advice_code"),
+        F.when(n % 17 == 0, times.add_seconds(at, -60.0)).when(n % 17 == 1, times.add_seconds(at, 600.0)).when(n % 17 == 2, times.add_seconds(at, 3600.0)).alias("certificate_valid_until"),
+        (n % 6 == 0).alias("reissued"), F.when(n % 10 == 0, "revoked").otherwise("active").alias("mandate_status"),
+    ).withColumn("decline_category", F.coalesce("_dc", F.lit("soft"))).drop("_dc")
+
+
+def gate_context(spark: SparkSession, d: str) -> DataFrame:
+    """One wide row per claim: subject facts plus bounded arrays of recent contacts and retries.
+
+    The contact filter is on the raw shipping date, so it reaches the scan of the lines before the
+    join with their orders.
+    """
+    from dunlin.operators import rules
+    at = at_lit()
+    con = contacts(spark, d, since_hours=720.25)
+    k = rules.recent_contacts(con, "cust", at)
+    r = rules.recent_retries(retries(spark, d), "cust", at)
+    s = subjects(spark, d).withColumn("consent", rules.consent_map(F.col("consent"))).drop("subject_token")
+    empty_c = F.array().cast("array<struct<at_ts:timestamp,channel:string,outcome:string>>")
+    person = s.join(k, "cust", "left").join(r, "cust", "left").withColumn("contacts", F.coalesce("contacts", empty_c)).withColumn(
+        "retries", F.coalesce("retries", F.array().cast("array<timestamp>")))
+    return gate_claims(spark, d).join(person, "cust")
