@@ -129,3 +129,22 @@ def run_length(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
     total = F.col("_o") + F.col("_f")
     last = F.coalesce(F.greatest(F.col("_p"), F.col("_o") + F.col("_m")), F.lit(0))
     return local.join(off, cond).select(*df.columns, (total - last).alias(alias))
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, alias: str) -> DataFrame:
+    """Interpolated quantile per key from value counts and their running total.
+
+    ``percentile`` keeps every distinct value of a group in one buffer; here a group is only ever a
+    list of (value, count) rows cut into buckets.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
+    r = running(counts, keys, value_bucket(counts, column), [F.col(column)], sums={"_hi": F.col("_c")}, totals={"_n": F.col("_c")})
+    pos = (F.col("_n") - 1) * F.lit(q)
+    lo, hi = F.floor(pos), F.ceil(pos)
+
+    def at(p: Column) -> Column:
+        return F.max(F.when((p < F.col("_hi")) & (p >= F.col("_hi") - F.col("_c")), F.col(column)).cast("double"))
+    g = r.groupBy(*keys, "_n").agg(at(lo).alias("_a"), at(hi).alias("_b"))
+    frac = (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
+    return g.select(*keys, (F.col("_a") + frac * (F.col("_b") - F.col("_a"))).alias(alias))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dunlin import dims
 from dunlin.functions import money, stats
 from dunlin.operators import measurement as M
-from dunlin.operators import rules as R
+from dunlin.operators import scale
 from dunlin.plans import q_allocation as QA
 from dunlin.plans.q_ingest import _STRATA, armed
 from dunlin.plans.registry import query
@@ -351,7 +351,7 @@ def a35(spark, d):
 
 @query("a38_median_amount", "select rail, quantile_cont(amount_paise, 0.5) as median_paise from claims group by 1")
 def a38(spark, d):
-    return B.claims(spark, d).groupBy("rail").agg(F.median("amount_paise").alias("median_paise"))
+    return scale.exact_quantile(B.claims(spark, d), ["rail"], "amount_paise", 0.5, "median_paise")
 
 
 # ---- model metrics ------------------------------------------------------------------------------------
