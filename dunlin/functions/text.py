@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from dunlin import dims
 
 
+# letters, digits and word boundaries of every script, not only of ASCII
+UNI = "(?U)"
+
+
 def luhn_ok(digits: Column) -> Column:
     """Check digit over a string of digits."""
     ds = F.transform(F.split(F.reverse(digits), ""), lambda d: d.try_cast("int"))
@@ -36,10 +40,10 @@ def pii_hits(text: Column, numeric: Column | bool = True) -> Column:
     """
     masked = text
     for pattern in dims.PII_MASKS:
-        masked = F.regexp_replace(masked, pattern, "#")
+        masked = F.regexp_replace(masked, UNI + pattern, "#")
     found = []
     num = numeric if isinstance(numeric, Column) else F.lit(numeric)
-    for kind, pattern in dims.PII_PATTERNS:
+    for kind, pattern in ((k, UNI + p) for k, p in dims.PII_PATTERNS):
         hits = _hits(masked, pattern)
         if kind == "card_pan":
             hits = F.filter(hits, lambda h: luhn_ok(digits_only(h)) & (F.length(digits_only(h)) <= 19))
@@ -49,16 +53,18 @@ def pii_hits(text: Column, numeric: Column | bool = True) -> Column:
         if kind in dims.NUMERIC_PII:
             hits = F.when(num, hits).otherwise(F.array().cast("array<string>"))
             rest = F.when(num, rest).otherwise(masked)
-        found.append(F.transform(hits, lambda h, k=kind: _hit(k, h)))
+        found.append(F.transform(hits, _as_hit(kind)))
         masked = rest
     names = name_run_words(masked)
-    found.append(F.transform(names, lambda h: _hit("name_token", h)))
+    found.append(F.transform(names, _as_hit("name_token")))
     return F.coalesce(F.concat(*found), F.array().cast("array<struct<kind:string,length:int,fingerprint:string>>"))
 
 
-def _hit(kind: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.length(value).alias("length"),
-                    F.substring(F.sha2(F.encode(value, "utf-8"), 256), 1, 8).alias("fingerprint"))
+def _as_hit(kind: str):
+    def hit(value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.length(value).alias("length"),
+                        F.substring(F.sha2(F.encode(value, "utf-8"), 256), 1, 8).alias("fingerprint"))
+    return hit
 
 
 def name_run_words(text: Column) -> Column:
@@ -69,17 +75,17 @@ def name_run_words(text: Column) -> Column:
     """
     vocabulary = "|".join(dims.NON_NAMES)
     titled = "|".join(w[0] + w[1:].lower() for w in dims.NON_NAMES)
-    cleared = F.regexp_replace(text, rf"\b(?:{vocabulary}|{titled})\b", "|")
+    cleared = F.regexp_replace(text, rf"{UNI}\b(?:{vocabulary}|{titled})\b", "|")
     word = r"(?:[A-Z][a-z]{2,19}|[A-Z]{3,20})"
-    runs = _hits(cleared, rf"\b{word}(?:\s+{word})+\b")
-    words = F.flatten(F.transform(runs, lambda r: F.split(r, r"\s+")))
-    return F.when(text.rlike(r"\s"), words).otherwise(F.array().cast("array<string>"))
+    runs = _hits(cleared, rf"{UNI}\b{word}(?:\s+{word})+\b")
+    words = F.flatten(F.transform(runs, lambda r: F.split(r, rf"{UNI}\s+")))
+    return F.when(text.rlike(rf"{UNI}\s"), words).otherwise(F.array().cast("array<string>"))
 
 
 def redact(text: Column) -> tuple[Column, Column]:
     """(redacted text, array of removed kinds) for the seven kinds, applied in order."""
     out, removed = text, []
-    for kind, pattern in dims.REDACTIONS:
+    for kind, pattern in ((k, UNI + p) for k, p in dims.REDACTIONS):
         removed.append(F.when(out.rlike(pattern), F.lit(kind)))
         out = F.regexp_replace(out, pattern, f"[{kind}]")
     return out, F.filter(F.array(*removed), lambda k: k.isNotNull())
@@ -97,11 +103,11 @@ def ungrounded_figures(text: Column, facts: Column) -> Column:
                            lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
                            .when(a < b, -1).when(a > b, 1).otherwise(0))
     rest = F.aggregate(ordered, text, lambda acc, f: F.replace(acc, f, F.lit(" ")))
-    return F.transform(_hits(rest, dims.FIGURE), lambda f: F.regexp_replace(f, r"^\s+|\s+$", ""))
+    return F.transform(_hits(rest, UNI + dims.FIGURE), lambda f: F.regexp_replace(f, r"^\s+|\s+$", ""))
 
 
 def unsafe_phrases(text: Column) -> Column:
-    found = [F.when(text.rlike("(?i)" + p), F.lit(p)) for p in dims.UNSAFE_PHRASES]
+    found = [F.when(text.rlike("(?iU)" + p), F.lit(p)) for p in dims.UNSAFE_PHRASES]
     return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
