@@ -6,7 +6,7 @@ and stream row by row; none of them shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunlin import dims
@@ -32,32 +32,48 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``: a one-element ``transform``.
+
+    A chain of steps that each read their input twice would otherwise double the expression per step.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pii_hits(text: Column, numeric: Column | bool = True) -> Column:
     """array<struct<kind,length,fingerprint>> of personal data found in a text, never the value.
 
     Kinds are tried in order of precedence; a found span is replaced by a bar before the next kind
     looks, so no span is claimed twice.  Known identifiers (tokens, digests) are taken out first.
     """
-    masked = text
-    for pattern in dims.PII_MASKS:
-        masked = F.regexp_replace(masked, UNI + pattern, "#")
-    found = []
     num = numeric if isinstance(numeric, Column) else F.lit(numeric)
-    for kind, pattern in ((k, UNI + p) for k, p in dims.PII_PATTERNS):
-        hits = _hits(masked, pattern)
+    none = F.array().cast("array<string>")
+
+    def step(t: Column, left: list) -> Column:
+        if not left:
+            return F.transform(name_run_words(t), _as_hit("name_token"))
+        kind, pattern = left[0]
+        hits = _hits(t, UNI + pattern)
         if kind == "card_pan":
-            hits = F.filter(hits, lambda h: luhn_ok(digits_only(h)) & (F.length(digits_only(h)) <= 19))
-            rest = F.aggregate(hits, masked, lambda acc, h: F.replace(acc, h, F.lit("|")))
-        else:
-            rest = F.regexp_replace(masked, pattern, "|")
+            hits = F.filter(hits, lambda h: (F.length(digits_only(h)) <= 19) & luhn_ok(digits_only(h)))
         if kind in dims.NUMERIC_PII:
-            hits = F.when(num, hits).otherwise(F.array().cast("array<string>"))
-            rest = F.when(num, rest).otherwise(masked)
-        found.append(F.transform(hits, _as_hit(kind)))
-        masked = rest
-    names = name_run_words(masked)
-    found.append(F.transform(names, _as_hit("name_token")))
-    return F.coalesce(F.concat(*found), F.array().cast("array<struct<kind:string,length:int,fingerprint:string>>"))
+            hits = F.when(num, hits).otherwise(none)
+
+        def after(h: Column) -> Column:
+            if kind == "card_pan":       # a candidate that fails the check digit keeps its place
+                rest = F.aggregate(h, t, lambda acc, x: F.replace(acc, x, F.lit("|")))
+            else:
+                rest = F.when(F.size(h) > 0, F.regexp_replace(t, UNI + pattern, "|")).otherwise(t)
+            return F.concat(F.transform(h, _as_hit(kind)), bind(rest, lambda r: step(r, left[1:])))
+        return bind(hits, after)
+    masked = F.coalesce(text, F.lit(""))
+    for pattern in dims.PII_MASKS:
+        masked = F.regexp_replace(masked, UNI + pattern, "#")
+    return bind(masked, lambda t: step(t, dims.PII_PATTERNS))
+
+
+def scan_pii(df: DataFrame, column: str, out: str = "pii", numeric: Column | bool = True) -> DataFrame:
+    return df.withColumn(out, pii_hits(F.col(column), numeric))
 
 
 def _as_hit(kind: str):

@@ -242,15 +242,15 @@ def j21(spark, d):
 def x01(spark, d):
     """Personal data in whole documents: kind, length and fingerprint of each hit, never the value."""
     t = table(spark, d, "documents")
-    h = t.select("doc_id", F.explode(text.pii_hits(F.col("text"))).alias("h"))
+    h = text.scan_pii(t.select("doc_id", "text"), "text").select("doc_id", F.explode("pii").alias("h"))
     return h.groupBy("doc_id", "h.kind").agg(F.count(F.lit(1)).alias("hits"), F.sum("h.length").alias("chars"))
 
 
 @query("x01_email_hits", r"select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) as emails from documents where len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) > 0")
 def x01e(spark, d):
     t = table(spark, d, "documents")
-    n = F.size(F.filter(text.pii_hits(F.col("text")), lambda h: h["kind"] == "email"))
-    return t.select("doc_id", n.cast("long").alias("emails")).filter("emails > 0")
+    n = F.size(F.filter("pii", lambda h: h["kind"] == "email"))
+    return text.scan_pii(t.select("doc_id", "text"), "text").select("doc_id", n.cast("long").alias("emails")).filter("emails > 0")
 
 
 def walk_payload(df: DataFrame, key: str, payload: str, depth: int = 3) -> DataFrame:
@@ -282,8 +282,8 @@ def x02(spark, d):
     safe = F.lit(False)
     for s in dims.NUMERIC_SAFE_SUFFIXES:
         safe = safe | name.endswith(s)
-    hits = text.pii_hits(F.col("value"), ~(safe & F.col("value").rlike(r"^-?\d+(\.\d+)?$")))
-    return leaf.select("event_id", "path", F.array_join(F.array_distinct(F.transform(hits, lambda h: h["kind"])), ",").alias("kinds"))
+    hits = text.scan_pii(leaf.select("event_id", "path", "value"), "value", numeric=~(safe & F.col("value").rlike(r"^-?\d+(\.\d+)?$")))
+    return hits.select("event_id", "path", F.array_join(F.array_distinct(F.transform("pii", lambda h: h["kind"])), ",").alias("kinds"))
 
 
 def _redact_sql(col: str) -> tuple[str, str]:
