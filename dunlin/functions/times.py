@@ -49,9 +49,8 @@ def clock(text: str) -> int:
 def local_moment(day: Column, minute, zone: Column) -> Column:
     """The instant at which a local day reaches a minute of its day."""
     m = minute if isinstance(minute, Column) else F.lit(minute)
-    text = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.lpad(F.floor(m / 60).cast("string"), 2, "0"),
-                    F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.lit(":00"))
-    return F.to_utc_timestamp(F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss"), zone)
+    wall = F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + m.cast("long") * 60)
+    return F.to_utc_timestamp(wall, zone)
 
 
 def next_contact_window(ts: Column, zone: Column, opens: int = 480, closes: int = 1140) -> Column:

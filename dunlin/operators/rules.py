@@ -25,6 +25,9 @@ SLOT_SECONDS = 56.25          # fifteen minutes in sixteen steps
 SLOTS = 16
 KEEP_NEWEST = 15              # the largest limit of any counting rule
 PER_CHANNEL = ("channel_opted_out", "channel_consent")
+# checks whose answer depends on the moment; the others are asked once per claim
+MOVING = ("freeze_until", "attempt_budget", "attempts_per_day", "predebit_notice_lead", "contact_window", "quiet_hours", "blocked_days",
+          "certificate_window", "channel_cooldown", "cross_channel_cooldown", "contact_frequency")
 
 
 # ---- bounded context ------------------------------------------------------------------------------
@@ -144,17 +147,21 @@ def check(rule: Rule, at: Column, channel: str | None = None) -> tuple[Column, C
     raise ValueError(f"no check named {c}")
 
 
-def outcome(rule: Rule, at: Column, channel: str | None = None, until: bool = True) -> Column:
+def outcome(rule: Rule, at: Column, channel: str | None = None) -> Column:
     """struct<rank, until>: a check that cannot answer blocks, and so does a wait without an end."""
     bad, when = check(rule, at, channel)
+    return _verdict(rule, bad, F.when(bad, when))
+
+
+def _verdict(rule: Rule, bad: Column, until: Column) -> Column:
     code = _REMEDY[rule.remedy]
-    hit = F.when(when.isNull(), BLOCK).otherwise(DEFER) if code == DEFER else F.lit(code)
-    if rule.in_force_from:
-        bad = bad & (F.to_date(at) >= F.lit(rule.in_force_from).cast("date"))
+    hit = F.when(until.isNull(), BLOCK).otherwise(DEFER) if code == DEFER else F.lit(code)
     rank = F.when(bad.isNull(), BLOCK).when(bad, hit).otherwise(ALLOW)
-    if not until:
-        return rank
-    return F.struct(rank.alias("rank"), F.when(rank == DEFER, when).alias("until"))
+    return F.struct(rank.alias("rank"), (until if code == DEFER else F.lit(None).cast("timestamp")).alias("until"))
+
+
+def _in_force(rule: Rule, at: Column, bad: Column) -> Column:
+    return bad & (F.to_date(at) >= F.lit(rule.in_force_from).cast("date")) if rule.in_force_from else bad
 
 
 def _name(rule: Rule, action: str) -> str:
@@ -162,52 +169,82 @@ def _name(rule: Rule, action: str) -> str:
     return base + "_" + dims.CHANNEL_OF[action] if rule.check in PER_CHANNEL else base
 
 
-def outcomes(ctx: DataFrame, at: Column, classes: Sequence[str], rules: list[Rule] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """One outcome column per rule (per channel for the two channel checks)."""
-    cols: dict[str, Column] = {}
+def _distinct(classes: Sequence[str], rules: list[Rule] | None) -> dict[str, tuple[Rule, str]]:
+    out: dict[str, tuple[Rule, str]] = {}
     for r in ruleset.load(rules):
         if r.rule_class in classes:
             for a in dims.ACTION_NAMES:
                 if r.applies(a):
-                    n = _name(r, a)
-                    if n not in cols:
-                        cols[n] = outcome(r, at, dims.CHANNEL_OF[a])
-    return ctx.select(*keep, *[c.alias(n) for n, c in cols.items()])
+                    out.setdefault(_name(r, a), (r, dims.CHANNEL_OF[a]))
+    return out
+
+
+def outcomes(ctx: DataFrame, at: Column, classes: Sequence[str], rules: list[Rule] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One struct<rank, until> per rule (per channel for the two channel checks).
+
+    Three projections in a row: is it violated, until when (only where violated), and the verdict.  Each
+    reads the one before several times, so the optimiser keeps them apart and every check runs once.
+    """
+    named = _distinct(classes, rules)
+    cols = {n: check(r, at, ch) for n, (r, ch) in named.items()}
+    first = ctx.select("*", *[_in_force(named[n][0], at, bad).alias(f"b{n}") for n, (bad, _) in cols.items()])
+    waits = {n: when for n, (_, when) in cols.items() if named[n][0].remedy == "DEFER"}
+    second = first.select(*keep, *[f"b{n}" for n in cols], *[F.when(F.col(f"b{n}"), when).alias(f"u{n}") for n, when in waits.items()])
+    none = F.lit(None).cast("timestamp")
+    return second.select(*keep, *[_verdict(r, F.col(f"b{n}"), F.col(f"u{n}") if n in waits else none).alias(n) for n, (r, _) in named.items()])
 
 
 def evaluate(ctx: DataFrame, at: Column, classes: Sequence[str] = tuple(ruleset.ALL_CLASSES), rules: list[Rule] | None = None,
-             keep: Sequence[str] = ("claim_id", "subject_token"), actions: Sequence[str] | None = None, detail: bool = False) -> DataFrame:
+             keep: Sequence[str] = ("claim_id", "subject_token"), detail: bool = True, texts: bool = False) -> DataFrame:
     """One row per (claim, action): decision, the latest wait, and the ids of the deciding rules.
 
     Every rule of the requested classes is evaluated; the decision is the strictest verdict.
-    ``detail`` adds ``verdicts``, an array of struct<rule_id, rank, applicable, until> for all rules.
+    ``fired`` lists all rules that did not allow, as struct<rule_id, rank>.  ``detail=False`` leaves
+    only the rank (all that a projection of eligible actions needs).
     """
     use = [r for r in ruleset.load(rules) if r.rule_class in classes]
     staged = outcomes(ctx, at, classes, rules, keep)
+    if detail:     # what fired, once per claim, with the actions it concerns as bits
+        bits = {n: 0 for n in _distinct(classes, rules)}
+        for i, a in enumerate(dims.ACTION_NAMES):
+            for r in use:
+                if r.applies(a):
+                    bits[_name(r, a)] |= 1 << i
+        named = _distinct(classes, rules)
+        order = sorted(bits, key=lambda n: use.index(named[n][0]))
+        staged = staged.withColumn("_fired", F.filter(F.array(*[
+            F.when(F.col(n)["rank"] > ALLOW, F.struct(F.lit(named[n][0].id).alias("rule_id"), F.col(n)["rank"].alias("rank"), F.lit(bits[n]).alias("bits"))) for n in order]),
+            lambda x: x.isNotNull()))
+    if texts:      # one text per verdict and claim; the actions only join them
+        for n, (r, _) in _distinct(classes, rules).items():
+            name = F.get(F.array(*map(F.lit, ruleset.VERDICTS)), F.col(n)["rank"])
+            staged = staged.withColumn(f"t{n}", F.concat(F.lit(r.id + "="), name, F.lit("@"), F.coalesce(iso(F.col(n)["until"]), F.lit("-"))))
     rows = []
-    for a in (actions or dims.ACTION_NAMES):
+    for a in dims.ACTION_NAMES:
         mine = [(r, F.col(_name(r, a))) for r in use if r.applies(a)]
         ranks = [c["rank"] for _, c in mine]
-        decision = F.greatest(*ranks) if len(ranks) > 1 else (ranks[0] if ranks else F.lit(ALLOW))
-        waits = [c["until"] for r, c in mine if r.remedy == "DEFER"]
-        wait = F.greatest(*waits) if len(waits) > 1 else (waits[0] if waits else F.lit(None).cast("timestamp"))
-        ids = F.filter(F.array(*[F.when(c["rank"] == decision, F.lit(r.id)) for r, c in mine]), lambda x: x.isNotNull()) if mine \
-            else F.array().cast("array<string>")
-        fields = [F.lit(a).alias("action"), decision.alias("rank"), F.when(decision == DEFER, wait).alias("defer_until"),
-                  F.when(decision == ALLOW, F.array().cast("array<string>")).otherwise(ids).alias("blocking")]
+        fields = [F.lit(a).alias("action"), (F.greatest(*ranks) if len(ranks) > 1 else (ranks[0] if ranks else F.lit(ALLOW))).alias("rank")]
         if detail:
-            fields.append(F.array(*[
-                F.struct(F.lit(r.id).alias("rule_id"), (F.col(_name(r, a))["rank"] if r.applies(a) else F.lit(ALLOW)).alias("rank"),
-                         F.lit(r.applies(a)).alias("applicable"),
-                         (F.col(_name(r, a))["until"] if r.applies(a) else F.lit(None).cast("timestamp")).alias("until")) for r in use]).alias("verdicts"))
+            waits = [c["until"] for r, c in mine if r.remedy == "DEFER"]
+            fields.append((F.greatest(*waits) if len(waits) > 1 else (waits[0] if waits else F.lit(None).cast("timestamp"))).alias("_wait"))
+            fields.append(F.lit(1 << dims.ACTION_NAMES.index(a)).alias("_bit"))
+        if texts:
+            fields.append(F.concat_ws(hashing.SEP, *[F.col("t" + _name(r, a)) if r.applies(a) else F.lit(f"{r.id}=allow@-") for r in use]).alias("_text"))
         rows.append(F.struct(*fields))
-    out = staged.select(*keep, F.inline(F.array(*rows)))
-    return out.withColumn("decision", F.get(F.array(*map(F.lit, ruleset.VERDICTS)), F.col("rank")))
+    out = staged.select(*keep, *(["_fired"] if detail else []), F.inline(F.array(*rows)))
+    verdict = F.get(F.array(*map(F.lit, ruleset.VERDICTS)), F.col("rank"))
+    if not detail:
+        return out.select(*keep, "action", "rank", verdict.alias("decision"))
+
+    fired = F.transform(F.filter("_fired", lambda x: x["bits"].bitwiseAND(F.col("_bit")) != 0), lambda x: F.struct(x["rule_id"].alias("rule_id"), x["rank"].alias("rank")))
+    out = out.select(*keep, "action", "rank", verdict.alias("decision"), F.when(F.col("rank") == DEFER, F.col("_wait")).alias("defer_until"), fired.alias("fired"),
+                     *(["_text"] if texts else []))
+    return out.withColumn("blocking", F.transform(F.filter("fired", lambda x: x["rank"] == F.col("rank")), lambda x: x["rule_id"]))
 
 
 def project(ctx: DataFrame, at: Column, keep: Sequence[str] = ("claim_id", "subject_token"), rules: list[Rule] | None = None) -> DataFrame:
     """Allowed actions before scoring: every class but the run-time one."""
-    return evaluate(ctx, at, ruleset.PROJECT_CLASSES, rules, keep).filter(F.col("rank") == ALLOW).select(*keep, "action")
+    return evaluate(ctx, at, ruleset.PROJECT_CLASSES, rules, keep, detail=False).filter(F.col("rank") == ALLOW).select(*keep, "action")
 
 
 def iso(ts: Column) -> Column:
@@ -216,17 +253,12 @@ def iso(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("+00:00"))
 
 
-def certificate_id(version: str, at: Column) -> Column:
-    parts = F.transform("verdicts", lambda v: F.concat(v["rule_id"], F.lit("="), F.get(F.array(*map(F.lit, ruleset.VERDICTS)), v["rank"]), F.lit("@"),
-                                                       F.coalesce(iso(v["until"]), F.lit("-"))))
-    head = F.array(F.lit(version), F.col("claim_id"), F.col("action"), iso(at), F.col("decision"))
-    return hashing.uuid5(hashing.CERTIFICATE_SPACE, F.array_join(F.concat(head, parts), hashing.SEP))
-
-
 def certify(ctx: DataFrame, at: Column, rules: list[Rule] | None = None, keep: Sequence[str] = ("claim_id", "subject_token")) -> DataFrame:
-    """All classes, with a derived identifier; the window is added by :func:`with_window`."""
-    out = evaluate(ctx, at, ruleset.ALL_CLASSES, rules, keep, detail=True)
-    return out.withColumn("certificate_id", certificate_id(ruleset.version(rules), at))
+    """All classes, with an identifier derived from the moment, the decision and every verdict; the
+    window is added by :func:`windows`."""
+    out = evaluate(ctx, at, ruleset.ALL_CLASSES, rules, keep, texts=True)
+    name = F.concat_ws(hashing.SEP, F.lit(ruleset.version(rules)), F.col("claim_id"), F.col("action"), iso(at), F.col("decision"), F.col("_text"))
+    return out.withColumn("certificate_id", hashing.uuid5(hashing.CERTIFICATE_SPACE, name)).drop("_text")
 
 
 def windows(ctx: DataFrame, at: Column, rules: list[Rule] | None = None, keep: Sequence[str] = ("claim_id", "subject_token")) -> DataFrame:
@@ -237,18 +269,30 @@ def windows(ctx: DataFrame, at: Column, rules: list[Rule] | None = None, keep: S
     the four halving steps are replayed on the resulting booleans: no explode and no shuffle.
     """
     use = [r for r in ruleset.load(rules)]
-    names: dict[str, tuple[Rule, str]] = {}
-    for r in use:
-        for a in dims.ACTION_NAMES:
-            if r.applies(a):
-                names.setdefault(_name(r, a), (r, dims.CHANNEL_OF[a]))
+    named = _distinct(ruleset.ALL_CLASSES, rules)
+
+    def bad(n: str, moment: Column) -> Column:
+        r, ch = named[n]
+        return F.coalesce(_in_force(r, moment, check(r, moment, ch)[0]), F.lit(True)).alias(n)
     moments = F.transform(F.sequence(F.lit(-SLOTS), F.lit(SLOTS)), lambda i: times.add_seconds(at, i * SLOT_SECONDS))
-    probe = F.transform(moments, lambda m: F.struct(*[outcome(r, m, ch, until=False).alias(n) for n, (r, ch) in names.items()]))
-    staged = ctx.select(*keep, probe.alias("_p"))
+    steady = [n for n, (r, _) in named.items() if r.check not in MOVING]
+    moving = [n for n in named if n not in steady]
+    staged = ctx.select("*", *[bad(n, at).alias(f"s{n}") for n in steady])
+    staged = staged.select(*keep, *[f"s{n}" for n in steady], F.transform(moments, lambda m: F.struct(*[bad(n, m) for n in moving])).alias("_p"))
+
+    def any_of(cols: list[Column]) -> Column:
+        out = cols[0]
+        for c in cols[1:]:
+            out = out | c
+        return out
 
     def allows(a: str) -> Column:
-        mine = [_name(r, a) for r in use if r.applies(a)]
-        return F.transform("_p", lambda x: F.greatest(*[x[n] for n in mine]) == ALLOW) if len(mine) > 1 else F.transform("_p", lambda x: F.lit(True))
+        mine = {_name(r, a) for r in use if r.applies(a)}
+        fixed, live = [F.col(f"s{n}") for n in steady if n in mine], [n for n in moving if n in mine]
+        if not mine:
+            return F.transform("_p", lambda x: F.lit(True))
+        never = F.transform("_p", lambda x: F.lit(False))
+        return F.when(any_of(fixed), never).otherwise(F.transform("_p", lambda x: ~any_of([x[n] for n in live])))
     rows = staged.select(*keep, F.inline(F.array(*[F.struct(F.lit(a).alias("action"), allows(a).alias("_ok")) for a in dims.ACTION_NAMES])))
 
     def walk(df: DataFrame, sign: int, name: str) -> DataFrame:

@@ -202,8 +202,9 @@ _DEFER = [i for i, r in enumerate(RULES) if r.remedy == "DEFER"]
 @query("f03_fail_closed", f"with {GATE}, x as (" + " union all ".join(f"select '{RULES[i].id}' as rule_id, r{i} as rk from gdec" for i in _DEFER) +
        ") select rule_id, count(*) filter (where rk = 2) as downgraded, count(*) filter (where rk = 1) as deferred from x group by 1")
 def f03(spark, d):
-    e = evaluated(spark, d).select(F.explode("verdicts").alias("v")).select("v.rule_id", "v.rank").filter(F.col("rule_id").isin([RULES[i].id for i in _DEFER]))
-    return e.groupBy("rule_id").agg(F.count_if(F.col("rank") == 2).alias("downgraded"), F.count_if(F.col("rank") == 1).alias("deferred"))
+    e = evaluated(spark, d).select(F.explode("fired").alias("v")).groupBy("v.rule_id").agg(F.count_if(F.col("v.rank") == 2).alias("downgraded"), F.count_if(F.col("v.rank") == 1).alias("deferred"))
+    waits = ruleset.rule_dim(spark).filter(F.col("on_violation") == "defer").select("rule_id")
+    return waits.join(e, "rule_id", "left").na.fill(0)
 
 
 @query("f04_project", f"with {GATE} select claim_id, action from gdec where proj_rank = 0")
@@ -274,7 +275,7 @@ _FIRED = "fired as (" + " union all ".join(f"select claim_id, action, '{r.id}' a
 def fired(spark, d) -> DataFrame:
     """Rules that fired, one row per (claim, action, rule); quiet rules are dropped before the explode."""
     e = evaluated(spark, d)
-    return e.select("claim_id", "action", F.explode(F.filter("verdicts", lambda v: v["rank"] > 0)).alias("v")).select("claim_id", "action", "v.rule_id", F.col("v.rank").alias("rk"))
+    return e.select("claim_id", "action", F.explode("fired").alias("v")).select("claim_id", "action", "v.rule_id", F.col("v.rank").alias("rk"))
 
 
 @query("a13_rule_fired_counts", f"with {GATE}, {_FIRED}, n as (select rule_id, count(*) as n from fired group by 1) select rule_id, n, row_number() over (order by n desc, rule_id) as place from n")
@@ -327,7 +328,7 @@ def s09(spark, d):
     spark.createDataFrame(rows, "id string, `class` string, scope array<string>, actions array<string>, basis string, status string, `check` string, params string, "
                           "on_violation string, in_force_from string").coalesce(1).write.json(path)
     loaded = ruleset.from_json(spark, path)
-    e = R.evaluate(context(spark, d), B.at_lit(), rules=loaded, detail=True).select("claim_id", F.explode(F.filter("verdicts", lambda v: v["rank"] > 0)).alias("v"))
+    e = R.evaluate(context(spark, d), B.at_lit(), rules=loaded).select("claim_id", F.explode("fired").alias("v"))
     per = e.select("claim_id", "v.rule_id").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("claims"))
     return per.select(F.lit(ruleset.version(loaded)).alias("version"), "rule_id", "claims")
 

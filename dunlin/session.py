@@ -32,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table with its declared schema: no inference, instants read as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # the JVM does not compile methods beyond this size, so a fused stage that large would be interpreted
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
