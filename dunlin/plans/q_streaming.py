@@ -108,8 +108,8 @@ def r06(spark, d):
 @query("r07_source_breaker")
 def r07(spark, d):
     """Trips per source with a low threshold, so that the data contains some."""
-    out = scratch_path(spark, "trips")
-    s = J.source_breaker(presentations_stream(spark, d), threshold=3)
+    out, p = scratch_path(spark, "trips"), B.presentations(spark, d)
+    s = J.source_breaker(J.stream(spark, J.land_in_order(p, "landing-breaker", "at_ts", 8), p.schema, 1), threshold=3)
     J.drain(s, J.append_to(out))
     return J.read_back(spark, out, s.schema).select("source", "tripped_us")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dunlin.functions import times
-from dunlin.operators import diagnosis, ingest
+from dunlin.operators import diagnosis, ingest, scale
 from dunlin.session import scratch_path
 
 LATE = "30 days"
@@ -29,6 +29,18 @@ def land(df: DataFrame, label: str, order: str, files: int = 4) -> str:
     return path
 
 
+def land_in_order(df: DataFrame, label: str, order: str, files: int) -> str:
+    """Landing folder whose files arrive one after the other in time order, as a source would send them."""
+    path = scratch_path(df.sparkSession, label)
+    x = df.withColumn("_us", F.unix_micros(order))
+    cuts = [None, *scale.cut_points(x, "_us", files), None]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = x if lo is None else x.filter(F.col("_us") >= lo)
+        part = part if hi is None else part.filter(F.col("_us") < hi)
+        part.drop("_us").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
