@@ -15,9 +15,9 @@ HEADLINE = [
     # diagnosis
     "a01_cohort_cells", "w06_ladder", "m21_diagnose",
     # rules
-    "f04_project", "f05_certify", "f06_certificate_window", "a13_rule_fired_counts",
+    "f04_project", "f05_certify", "a13_rule_fired_counts",
     # allocation
-    "p07_candidate_value", "m09_propensity", "m08_admission", "m07_single_budget", "m07_shadow_prices", "m12_cycle",
+    "p07_candidate_value", "m09_propensity", "m08_admission", "m07_single_budget",
     # measurement
     "m13_composed_policy", "m14_doubly_robust", "m15_cluster_bootstrap", "m19_scoreboard", "w14_average_precision", "w16_qini_curve",
     # ledgers and state
