@@ -181,6 +181,16 @@ class Encoder:
         return [b"".join(map(memo.__getitem__, x)) for x in parts]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process; its memos serve all tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 # ---------------------------------------------------------------- the file
 
 SEGMENT = "part long, seq long, n_ids long, doc_ids binary, null_ids binary, lengths binary, ids binary"
@@ -190,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     """Write the ids of whole texts in ascending id order to `path`, a folder that all executors share."""
     def segments(batches):
         part = TaskContext.get().partitionId()
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u4").tobytes()
         keys, ids, held, seq = [], [], 0, 0
 
         def flush():
@@ -202,7 +212,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             return pa.RecordBatch.from_pydict({n: pa.array([v], type=t) for (n, t), v in zip(ARROW, row)})
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = encoder.encode_all([x or "" for x in piece.column("text").to_pylist()])
+                found = encode([x or "" for x in piece.column("text").to_pylist()])
                 for key, x in zip(piece.column("doc_id").to_pylist(), found):
                     keys.append(key)
                     ids.append(x + end)
