@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can state them, their DuckDB SQL."""
 
 from dunlin.llm.language_id import op1_language_id
+from dunlin.llm.jaccard_join import op2_jaccard_join
 from dunlin.llm.token_file import op5_token_file
 from dunlin.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_file, op6_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op5_token_file, op6_toxicity)}
 ORACLES: dict[str, str] = {}
