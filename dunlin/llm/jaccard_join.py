@@ -52,6 +52,13 @@ def set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+def ranges(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """How many members of each set lie in each of RANGES equal ranges of the hash, 32 bits each."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * RANGES + (h >> U64(58)).astype(np.int64)
+    return pa.array([r.tobytes() for r in np.bincount(at, minlength=n * RANGES).astype("<u4").reshape(n, RANGES)], pa.binary())
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
     """One pass: a row for each document (id, size, set id) and, for each task, its part of the count table."""
     per = (1 << COUNT_BITS) // COUNT_ROWS
@@ -64,13 +71,13 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 counts += np.bincount((h >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
                 size = piece.num_rows
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first)),
-                                                  "sid": set_ids(h, first), "row": pa.nulls(size, pa.int32()), "counts": pa.nulls(size, pa.binary())})
+                                                  "sid": set_ids(h, first), "ranges": ranges(h, first), "row": pa.nulls(size, pa.int32()), "counts": pa.nulls(size, pa.binary())})
         if counts.any():
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.nulls(COUNT_ROWS, pa.int64()), "n": pa.nulls(COUNT_ROWS, pa.int64()), "sid": pa.nulls(COUNT_ROWS, pa.int64()),
+                "doc_id": pa.nulls(COUNT_ROWS, pa.int64()), "n": pa.nulls(COUNT_ROWS, pa.int64()), "sid": pa.nulls(COUNT_ROWS, pa.int64()), "ranges": pa.nulls(COUNT_ROWS, pa.binary()),
                 "row": pa.array(np.arange(COUNT_ROWS, dtype=np.int32)),
                 "counts": pa.array([counts[i * per:(i + 1) * per].astype("<u8" if counts.max() >> 32 else "<u4").tobytes() for i in range(COUNT_ROWS)], pa.binary())})
-    return docs.mapInArrow(profile, "doc_id long, n long, sid long, row int, counts binary")
+    return docs.mapInArrow(profile, "doc_id long, n long, sid long, ranges binary, row int, counts binary")
 
 
 def _count_classes(profile: DataFrame) -> np.ndarray:
@@ -112,18 +119,14 @@ def _postings(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Dat
 
 
 def _members(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sid, n, ranges, items: the sets of the wanted documents, as sorted 40-bit keys, with their counts by range."""
+    """sid, items: the sets of the wanted documents (sid, doc_id), as sorted 40-bit keys."""
     def members(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, first = sets(piece.column("text"), n)
-                bins = np.bincount((np.repeat(np.arange(piece.num_rows), np.diff(first)) * RANGES + (h >> U64(58)).astype(np.int64)), minlength=piece.num_rows * RANGES)
-                ranges = bins.astype("<u4").reshape(-1, RANGES)
                 raw = np.ascontiguousarray((h >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-                yield pa.RecordBatch.from_pydict({
-                    "sid": piece.column("sid"), "n": pa.array(np.diff(first)), "ranges": pa.array([r.tobytes() for r in ranges], pa.binary()),
-                    "items": pa.array([raw[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())})
-    return (docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(members, "sid long, n long, ranges binary, items binary"))
+                yield pa.RecordBatch.from_pydict({"sid": piece.column("sid"), "items": pa.array([raw[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())})
+    return docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(members, "sid long, items binary").dropDuplicates(["sid"])
 
 
 def _keys(raw: bytes) -> np.ndarray:
@@ -132,28 +135,35 @@ def _keys(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of every distinct candidate pair: suffix filter on the ranges first, then the sets themselves."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that pass the suffix filter: no more can be shared than the ranges have in common."""
     def suffix(batches):
         for batch in batches:
             x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in ("ra", "rb")]
             most = np.minimum(x[0], x[1]).sum(axis=1)
             keep = 100 * most >= percent * (x[0].sum(axis=1) + x[1].sum(axis=1) - most)
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
+    side = lambda c: classes.select(F.col("sid").alias(c), F.col("ranges").alias("r" + c))
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long"), "likely")
 
+
+def _verify(likely: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that hold, by the sets themselves; only sets that a likely pair names are built and moved."""
     def exact(batches):
         for batch in batches:
             held, out = (None, None), []
             for raw_a, raw_b in zip(batch.column("ia"), batch.column("ib")):
+                raw_a = raw_a.as_py()
                 if held[0] != raw_a:
-                    held = (raw_a, _keys(raw_a.as_py()))
+                    held = (raw_a, _keys(raw_a))
                 a, b = held[1], _keys(raw_b.as_py())
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(out, pa.bool_()))
-    side = lambda c, x: items.select(F.col("sid").alias(c), F.col(x).alias(x[0] + c))
-    likely = materialise(pairs.join(side("a", "ranges"), "a").join(side("b", "ranges"), "b").mapInArrow(suffix, "a long, b long"), "likely")
-    return likely.join(side("a", "items"), "a").join(side("b", "items"), "b").mapInArrow(exact, "a long, b long")
+    named = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id"))
+    items = materialise(_members(docs, named, n), "items")
+    side = lambda c: items.select(F.col("sid").alias(c), F.col("items").alias("i" + c))
+    return likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
 
 
 def _fits(small: str, large: str, percent: int):
@@ -172,8 +182,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialise(_profile(docs, n), "profile")
     shared = _count_classes(profile)
-    info = profile.where("row is null").select("doc_id", "n", "sid")
-    classes = materialise(info.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("class_id")), "classes")
+    info = profile.where("row is null").select("doc_id", "n", "sid", "ranges")
+    classes = materialise(info.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "ranges")).alias("m"))
+                          .select("sid", F.col("m.doc_id").alias("class_id"), F.col("m.ranges").alias("ranges")), "classes")
 
     post = _postings(docs, shared, n, percent)
     # n-grams that stand in one set only are of no use; of the others the leader is the least set id
@@ -181,14 +192,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
                           .where("lead.sid <> last").select("token", F.col("lead.sid").alias("lead"), F.col("lead.place").alias("lead_place")), "leaders")
     live = materialise(post.join(leaders, "token").groupBy("token", "sid").agg(*[F.first(c).alias(c) for c in ("place", "lead", "lead_place")]), "live")
 
-    # sets that any candidate names
-    wanted = live.select("sid").distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id"))
-    one = docs.where("doc_id is not null")
-    items = materialise(_members(one, wanted, n).dropDuplicates(["sid"]), "items")
-
     tried = materialise(live.where("sid <> lead").where(_fits("place", "lead_place", percent))
                         .select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "tried")
-    links = materialise(_verify(tried, items, percent), "links")
+    links = materialise(_verify(_likely(tried, classes, percent), docs, classes, n, percent), "links")
     label = components(links)
 
     # only n-grams whose sets are not all connected can still bring news
@@ -203,12 +209,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     rest = (cross.join(some, ["token", "ca"]).join(other, ["token", "cb"]).where(_fits("place_a", "place_b", percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
-    links = materialise(links.union(_verify(materialise(rest, "rest"), items, percent)), "links")
+    links = materialise(links.union(_verify(_likely(rest, classes, percent), docs, classes, n, percent)), "links")
 
     to_class = lambda c: classes.select(F.col("sid").alias(c), F.col("class_id").alias("class_" + c))
     by_class = links.join(to_class("a"), "a").join(to_class("b"), "b").select("class_a", "class_b")
     label = components(by_class)
-    member = (info.join(classes, "sid", "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
+    member = (info.drop("ranges").join(classes.drop("ranges"), "sid", "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
               .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                       F.coalesce("component", "class_id", "doc_id").alias("component_id")))
     return member, by_class
