@@ -2,9 +2,10 @@
 
 from dunlin.llm.language_id import op1_language_id
 from dunlin.llm.jaccard_join import op2_jaccard_join
+from dunlin.llm.passages import op4_passages
 from dunlin.llm.phrase_index import op7_decontamination
 from dunlin.llm.token_file import op5_token_file
 from dunlin.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op5_token_file, op6_toxicity, op7_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op4_passages, op5_token_file, op6_toxicity, op7_decontamination)}
 ORACLES: dict[str, str] = {}
