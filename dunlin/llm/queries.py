@@ -1,6 +1,7 @@
 """The registered queries of this package and, where SQL can state them, their DuckDB SQL."""
 
 from dunlin.llm.language_id import op1_language_id
+from dunlin.llm.cross_entropy import op9_cross_entropy
 from dunlin.llm.jaccard_join import op2_jaccard_join
 from dunlin.llm.neighbours import OP3_SQL, op3_neighbours
 from dunlin.llm.passages import op4_passages
@@ -8,5 +9,5 @@ from dunlin.llm.phrase_index import op7_decontamination
 from dunlin.llm.token_file import op5_token_file
 from dunlin.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_neighbours, op4_passages, op5_token_file, op6_toxicity, op7_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_neighbours, op4_passages, op5_token_file, op6_toxicity, op7_decontamination, op9_cross_entropy)}
 ORACLES: dict[str, str] = {"op3_neighbours": OP3_SQL}
