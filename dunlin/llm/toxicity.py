@@ -144,6 +144,17 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def clean(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                yield piece.filter(pa.array(model.value.score(*terms(piece.column("text"))) < threshold))
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of documents whose checksum modulo 5 is not 0 teach."""
     docs = read(spark, sf_dir, "documents")
