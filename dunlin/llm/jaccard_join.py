@@ -3,12 +3,14 @@
 A document is the set of its distinct word n-grams.  Sets are ordered by a common order, rare n-grams
 first: by the logarithm of a count that a fixed table of hash buckets keeps over the whole corpus, then
 by hash.  Two sets can only reach the threshold if their prefixes share an n-gram; candidates that share
-one pass a length filter, a positional filter (what can still follow in both sets) and a suffix filter
-(what the sets have in each of 64 ranges of the hash), and are verified once per pair on the sets.
+one pass a length filter, a positional filter (at the first n-gram that they share, what can still follow in
+both) and a suffix filter (their parities in hash classes differ in no more classes than their members
+differ: a lower bound of the Hamming distance), and are verified once per pair on the sets.
 
 Equal sets are one class.  Links inside large groups of near copies are not listed pair by pair: first
-every set is verified against the leader of each shared prefix n-gram; then, and only between sets that
-are not yet connected, all remaining candidates are verified.  So components are exact.
+every set is verified against the leader of each shared prefix n-gram, the set that has it foremost (in a
+group of near copies, the one with the fewest n-grams of its own); then, and only between sets that are not
+yet connected, all remaining candidates are verified.  So components are exact.
 
 Defined results: null text, and text without words, is an empty set, linked with nothing; fewer words
 than n give one n-gram, the whole sequence; equal ids count as rows of one node; an empty table gives an
@@ -27,7 +29,7 @@ from dunlin.llm.components import components
 
 #: Buckets of the count table, and rows into which it is cut for the exchange.
 COUNT_BITS, COUNT_ROWS = 18, 64
-RANGES, KEY_BYTES = 64, 5
+KEY_BYTES = 5
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +54,22 @@ def set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def ranges(h: np.ndarray, first: np.ndarray) -> pa.Array:
-    """How many members of each set lie in each of RANGES equal ranges of the hash, 32 bits each."""
-    n = len(first) - 1
-    at = np.repeat(np.arange(n), np.diff(first)) * RANGES + (h >> U64(58)).astype(np.int64)
-    return pa.array([r.tobytes() for r in np.bincount(at, minlength=n * RANGES).astype("<u4").reshape(n, RANGES)], pa.binary())
+def parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set the parity of its members in each of a power of two of classes, about four for a member."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        classes = max(64, 1 << (4 * (b - a) - 1).bit_length()) if b > a else 64
+        odd = np.bincount((h[a:b] & U64(classes - 1)).astype(np.int64), minlength=classes) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Classes in which two parities differ; the longer is folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) if len(v) > n else v for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
@@ -71,13 +84,13 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 counts += np.bincount((h >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
                 size = piece.num_rows
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first)),
-                                                  "sid": set_ids(h, first), "ranges": ranges(h, first), "row": pa.nulls(size, pa.int32()), "counts": pa.nulls(size, pa.binary())})
+                                                  "sid": set_ids(h, first), "parity": parities(h, first), "row": pa.nulls(size, pa.int32()), "counts": pa.nulls(size, pa.binary())})
         if counts.any():
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.nulls(COUNT_ROWS, pa.int64()), "n": pa.nulls(COUNT_ROWS, pa.int64()), "sid": pa.nulls(COUNT_ROWS, pa.int64()), "ranges": pa.nulls(COUNT_ROWS, pa.binary()),
+                "doc_id": pa.nulls(COUNT_ROWS, pa.int64()), "n": pa.nulls(COUNT_ROWS, pa.int64()), "sid": pa.nulls(COUNT_ROWS, pa.int64()), "parity": pa.nulls(COUNT_ROWS, pa.binary()),
                 "row": pa.array(np.arange(COUNT_ROWS, dtype=np.int32)),
                 "counts": pa.array([counts[i * per:(i + 1) * per].astype("<u8" if counts.max() >> 32 else "<u4").tobytes() for i in range(COUNT_ROWS)], pa.binary())})
-    return docs.mapInArrow(profile, "doc_id long, n long, sid long, ranges binary, row int, counts binary")
+    return docs.mapInArrow(profile, "doc_id long, n long, sid long, parity binary, row int, counts binary")
 
 
 def _count_classes(profile: DataFrame) -> np.ndarray:
@@ -136,14 +149,14 @@ def _keys(raw: bytes) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that pass the suffix filter: no more can be shared than the ranges have in common."""
+    """The candidate pairs that pass the suffix filter."""
     def suffix(batches):
         for batch in batches:
-            x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in ("ra", "rb")]
-            most = np.minimum(x[0], x[1]).sum(axis=1)
-            keep = 100 * most >= percent * (x[0].sum(axis=1) + x[1].sum(axis=1) - most)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
-    side = lambda c: classes.select(F.col("sid").alias(c), F.col("ranges").alias("r" + c))
+            both = (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            odd = np.array([differing(x, y) for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist())], np.int64)
+            most = (both - odd) // 2
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(100 * most >= percent * (both - most)))
+    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("r" + c))
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long"), "likely")
 
 
@@ -166,11 +179,9 @@ def _verify(likely: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
     return likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
 
 
-def _fits(small: str, large: str, percent: int):
-    """Length and positional filter for the places (size, position) of a shared n-gram in two sets."""
-    na, pa_ = F.shiftright(small, 32), F.col(small).bitwiseAND(0xFFFFFFFF)
-    nb, pb = F.shiftright(large, 32), F.col(large).bitwiseAND(0xFFFFFFFF)
-    most = F.lit(1) + F.least(na - pa_ - 1, nb - pb - 1) + F.least(pa_, pb)
+def _fits(na, ra, nb, rb, percent: int):
+    """Length and positional filter: sizes of two sets, and what each has from their first common n-gram on."""
+    most = F.least(ra, rb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (na + nb - most))
 
 
@@ -182,39 +193,43 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialise(_profile(docs, n), "profile")
     shared = _count_classes(profile)
-    info = profile.where("row is null").select("doc_id", "n", "sid", "ranges")
-    classes = materialise(info.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "ranges")).alias("m"))
-                          .select("sid", F.col("m.doc_id").alias("class_id"), F.col("m.ranges").alias("ranges")), "classes")
+    info = profile.where("row is null").select("doc_id", "n", "sid", "parity")
+    classes = materialise(info.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "parity")).alias("m"))
+                          .select("sid", F.col("m.doc_id").alias("class_id"), F.col("m.n").alias("n"), F.col("m.parity").alias("parity")), "classes")
 
     post = _postings(docs, shared, n, percent)
-    # n-grams that stand in one set only are of no use; of the others the leader is the least set id
-    leaders = materialise(post.groupBy("token").agg(F.min(F.struct("sid", "place")).alias("lead"), F.max("sid").alias("last"))
-                          .where("lead.sid <> last").select("token", F.col("lead.sid").alias("lead"), F.col("lead.place").alias("lead_place")), "leaders")
-    live = materialise(post.join(leaders, "token").groupBy("token", "sid").agg(*[F.first(c).alias(c) for c in ("place", "lead", "lead_place")]), "live")
-
-    tried = materialise(live.where("sid <> lead").where(_fits("place", "lead_place", percent))
-                        .select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "tried")
+    # n-grams that stand in one set only are of no use
+    shared_tokens = materialise(post.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "tokens")
+    live = materialise(post.join(shared_tokens, "token").groupBy("token", "sid").agg(F.first("place").alias("place"))
+                       .select("token", "sid", F.shiftright("place", 32).alias("n"), (F.shiftright("place", 32) - F.col("place").bitwiseAND(0xFFFFFFFF)).alias("rest")), "live")
+    # the leader has the n-gram foremost: fewest n-grams before it
+    leaders = live.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("pos"), F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("rest").alias("lead_rest"))).alias("l")).select("token", "l.*")
+    tried = materialise(live.join(leaders, "token").where("sid <> lead").where(_fits(F.col("n"), F.col("rest"), F.col("lead_n"), F.col("lead_rest"), percent))
+                        .select(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).distinct(), "tried")
     links = materialise(_verify(_likely(tried, classes, percent), docs, classes, n, percent), "links")
     label = components(links)
 
-    # only n-grams whose sets are not all connected can still bring news
-    named = (live.select("token", "sid", "place").join(label.withColumnRenamed("node", "sid"), "sid", "left")
-             .withColumn("component", F.coalesce("component", "sid")))
+    # only n-grams whose sets are not all connected can still bring news; components meet first, by the best that
+    # any of their sets could reach, so that sets of one component never meet
+    named = (live.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     open_tokens = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = materialise(named.join(open_tokens, "token"), "left")
-    groups = left.select("token", "component").distinct()
-    cross = (groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "token").where("ca < cb"))
-    some = left.select("token", F.col("component").alias("ca"), F.col("sid").alias("a"), F.col("place").alias("place_a"))
-    other = left.select("token", F.col("component").alias("cb"), F.col("sid").alias("b"), F.col("place").alias("place_b"))
-    rest = (cross.join(some, ["token", "ca"]).join(other, ["token", "cb"]).where(_fits("place_a", "place_b", percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+    groups = left.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    side = lambda c: groups.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("component", "least", "most", "rest")])
+    reach = F.least("rest_a", "rest_b")
+    cross = (side("a").join(side("b"), "token").where("component_a < component_b")
+             .where((100 * reach >= percent * (F.col("least_a") + F.col("least_b") - reach)) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
+             .select("token", "component_a", "component_b"))
+    member_of = lambda c: left.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("component", "sid", "n", "rest")])
+    rest = (cross.join(member_of("a"), ["token", "component_a"]).join(member_of("b"), ["token", "component_b"])
+            .where(_fits(F.col("n_a"), F.col("rest_a"), F.col("n_b"), F.col("rest_b"), percent))
+            .select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     links = materialise(links.union(_verify(_likely(rest, classes, percent), docs, classes, n, percent)), "links")
 
     to_class = lambda c: classes.select(F.col("sid").alias(c), F.col("class_id").alias("class_" + c))
     by_class = links.join(to_class("a"), "a").join(to_class("b"), "b").select("class_a", "class_b")
     label = components(by_class)
-    member = (info.drop("ranges").join(classes.drop("ranges"), "sid", "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
+    member = (info.drop("parity").join(classes.select("sid", "class_id"), "sid", "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
               .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                       F.coalesce("component", "class_id", "doc_id").alias("component_id")))
     return member, by_class
