@@ -5,9 +5,9 @@ words (all words of the background): P(w | v) = (count(v w) + K / V) / (count(v)
 is the mean over its words of the target's loss less the background's: the lower, the more like the target.
 
 One exchange carries counts and documents: every document's distinct bigrams and contexts travel with their
-number to the bucket of their hash, nine bytes each, so that a bucket knows the whole corpus's counts of what
-it holds and can answer each document's part of the sum.  The sums of parts come back by chunk.  Within a
-document a bigram travels once, however often it stands there.
+number to the bucket of their hash, so that a bucket knows the whole corpus's counts of what it holds and can
+answer each document's part of the sum.  The sums of parts come back by chunk.  Within a document a bigram
+travels once, and within a chunk of documents its key travels once, followed by two bytes for each document.
 
 Defined results: null text and text without words have no words and no score (null); repeated ids are rows
 of their own; without target documents the target model is uniform; an empty table gives an empty one;
@@ -25,8 +25,8 @@ from dunlin.llm.common import U64, materialise, mix, pieces, read, text_buffer,
 
 #: Weight of the uniform part of a model, in counts.
 K = 50.0
-#: Text and documents of a chunk, and bytes of entries in a bucket.
-CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES, ENTRY = 16 << 20, 1 << 16, 32 << 20, 9
+#: Text and documents of a chunk, entries (a bigram or context of a document) in a bucket, bytes of a key.
+CHUNK_BYTES, CHUNK_DOCS, BUCKET_ENTRIES, KEY_BYTES = 8 << 20, 1 << 16, 3_000_000, 6
 _START, _CONTEXT, _BIGRAM = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179), U64(0x510E527FADE682D1)
 
 
@@ -77,25 +77,41 @@ def entries(h: np.ndarray, first: np.ndarray):
     return key[at], row[at], np.diff(np.append(at, len(key)))
 
 
-def _packed(key, row, count) -> np.ndarray:
-    """Entries of nine bytes: 48 bits of the hash, the row in its chunk, the count (more than 255 in several)."""
+def _packed(key, row, count) -> bytes:
+    """Entries: each distinct key once (48 bits) with its number of rows, the rows (16 bits), and the counts
+    above one.  More than 255 rows repeat the key, counts above 255 the row."""
     if len(count) and count.max() > 255:
         times = -(-count // 255)
         at = np.repeat(np.arange(len(count)), times)
         left = count[at] - 255 * (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
         key, row, count = key[at], row[at], np.minimum(left, 255)
-    out = np.empty((len(key), ENTRY), np.uint8)
-    out[:, :6] = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    out[:, 6:8] = row.astype("<u2").view(np.uint8).reshape(-1, 2)
-    out[:, 8] = count
-    return out
+    order = np.argsort(key, kind="stable")
+    key, row, count = key[order], row[order], count[order]
+    at = np.arange(len(key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % 255 == 0
+    begin = np.flatnonzero(new)
+    keys = np.ascontiguousarray(key[begin].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    many = count > 1
+    return b"".join([np.array([len(begin), len(key)], "<u4").tobytes(), keys.tobytes(), np.diff(np.append(begin, len(key))).astype(np.uint8).tobytes(),
+                     row.astype("<u2").tobytes(), np.packbits(many).tobytes(), count[many].astype(np.uint8).tobytes()])
 
 
 def _unpacked(raw: bytes):
-    x = np.frombuffer(raw, np.uint8).reshape(-1, ENTRY)
-    key = np.zeros((len(x), 8), np.uint8)
-    key[:, :6] = x[:, :6]
-    return key.view("<u8")[:, 0], np.ascontiguousarray(x[:, 6:8]).view("<u2")[:, 0].astype(np.int64), x[:, 8].astype(np.float64)
+    keys, n = np.frombuffer(raw, "<u4", 2).tolist()
+    at = 8
+    key = np.zeros((keys, 8), np.uint8)
+    key[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8, keys * KEY_BYTES, at).reshape(keys, KEY_BYTES)
+    at += keys * KEY_BYTES
+    times = np.frombuffer(raw, np.uint8, keys, at)
+    at += keys
+    row = np.frombuffer(raw, "<u2", n, at).astype(np.int32)
+    at += 2 * n
+    many = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    count = np.ones(n, np.float32)
+    count[many] = np.frombuffer(raw, np.uint8, -1, at + -(-n // 8))
+    return np.repeat(key.view("<u8")[:, 0], times), row, count
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: float = K) -> DataFrame:
@@ -105,7 +121,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     marks = target.select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("in_target", F.lit(True))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(size / 5 * ENTRY * 1.3 / BUCKET_BYTES) + 1)
+    buckets = max(8, int(size / 5 * 1.3 / BUCKET_ENTRIES) + 1)
     vocabulary = max(vocabulary_size(docs, buckets), 1)
     docs = docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
 
@@ -113,16 +129,17 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         keys, rows, counts, ids, marked, sizes, held = [], [], [], [], [], [], 0
 
         def chunk():
-            key, row, count = (np.concatenate(x) for x in (keys, rows, counts))
+            key, row_, count = (np.concatenate(x) for x in (keys, rows, counts))
             bucket = ((key >> U64(1)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             name, flags = unique_id(), np.packbits(np.array(marked, bool)).tobytes()
-            out = [(name, -1, np.array([-1 if i is None else i for i in ids], "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), np.packbits([i is None for i in ids]).tobytes())]
-            out += [(name, i, _packed(key[order[a:b]], row[order[a:b]], count[order[a:b]]).tobytes(), flags, None) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            for at in range(0, len(out), 16):
-                some = list(zip(*out[at:at + 16]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "data", "flags", "nulls"])
+            head = (np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), np.packbits([i is None for i in ids]).tobytes())
+            # a chunk's own ids and sizes pass through one of the buckets
+            for i, (a, b) in enumerate(zip(cut, cut[1:])):
+                if b > a or i == 0:
+                    row = (name, i, _packed(key[order[a:b]], row_[order[a:b]], count[order[a:b]]), flags, *(head if i == 0 else (None, None, None)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 5))], names=["chunk", "bucket", "data", "flags", "ids", "sizes", "nulls"])
         for batch in batches:
             for piece in pieces(batch, "text"):
                 if len(ids) and (held >= CHUNK_BYTES or len(ids) + piece.num_rows > CHUNK_DOCS):
@@ -147,37 +164,34 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         where = np.concatenate([[0], np.cumsum([len(x) for x in flags])])
         key, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         row = np.concatenate([p[1] + w for p, w in zip(parts, where)])
+        del parts
         order = np.argsort(key)
         new = np.ones(len(key), bool)
         new[1:] = key[order[1:]] != key[order[:-1]]
-        group = np.empty(len(key), np.int64)
+        group = np.empty(len(key), np.int32)
         group[order] = np.cumsum(new) - 1
-        own = np.concatenate(flags)[row]
         context = (key[order[new]] & U64(1)).astype(bool)
+        del order
+        own = np.concatenate([*flags, np.zeros(0, bool)])[row]
         loss = []
-        for total in (np.bincount(group, count * own), np.bincount(group, count)):
+        for weight in (count * own, count):
+            total = np.bincount(group, weight)
             value = np.where(context, np.log(total + k), -np.log(total + k / vocabulary))
-            loss.append(np.bincount(row, value[group] * count, where[-1]).astype("<f8"))
+            loss.append(np.bincount(row, value[group] * count, where[-1]).astype("<f4"))
         return pa.table({"chunk": pa.array(names, pa.int64()), "target": pa.array([loss[0][a:b].tobytes() for a, b in zip(where, where[1:])], pa.binary()),
-                         "background": pa.array([loss[1][a:b].tobytes() for a, b in zip(where, where[1:])], pa.binary())})
-
-    def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for head in left.to_pylist():
-            ids, sizes = np.frombuffer(head["data"], "<i8"), np.frombuffer(head["flags"], "<i8")
-            sums = [np.zeros(len(ids)), np.zeros(len(ids))]
-            for s, name in zip(sums, ("target", "background")):
-                for x in right.column(name):
-                    s += np.frombuffer(x.as_py(), "<f8")[:len(ids)]
-            absent, none = np.unpackbits(np.frombuffer(head["nulls"], np.uint8))[:len(ids)].astype(bool), sizes == 0
-            mean = [np.round(s / np.maximum(sizes, 1), 9) for s in sums]
-            out.append(pa.table({id_col: pa.array(ids, mask=absent), "n_words": pa.array(sizes), "target_loss": pa.array(mean[0], mask=none),
-                                 "background_loss": pa.array(mean[1], mask=none), "difference": pa.array(np.round(mean[0] - mean[1], 9), mask=none)}))
-        return pa.concat_tables(out) if out else pa.table({id_col: pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "difference")}})
-    sent = materialise(docs.mapInArrow(send, "chunk long, bucket int, data binary, flags binary, nulls binary"), "entries")
-    parts = sent.where("bucket >= 0").select("bucket", "chunk", "data", "flags").groupBy("bucket").applyInArrow(answer, "chunk long, target binary, background binary")
-    heads = sent.where("bucket = -1").select(F.col("chunk").alias("of"), "data", "flags", "nulls")
-    return heads.groupBy("of").cogroup(parts.groupBy("chunk")).applyInArrow(total, f"`{id_col}` long, n_words long, target_loss double, background_loss double, difference double")
+                         "background": pa.array([loss[1][a:b].tobytes() for a, b in zip(where, where[1:])], pa.binary()), **{c: table.column(c) for c in ("ids", "sizes", "nulls")}})
+
+    def total(table: pa.Table) -> pa.Table:
+        head = next(r for r in table.select(["ids", "sizes", "nulls"]).to_pylist() if r["ids"] is not None)
+        ids, sizes = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["sizes"], "<i8")
+        sums = [sum(np.frombuffer(x, "<f4")[:len(ids)].astype(float) for x in table.column(c).to_pylist()) for c in ("target", "background")]
+        absent, none = np.unpackbits(np.frombuffer(head["nulls"], np.uint8))[:len(ids)].astype(bool), sizes == 0
+        mean = [s / np.maximum(sizes, 1) for s in sums]
+        return pa.table({id_col: pa.array(ids, mask=absent), "n_words": pa.array(sizes), "target_loss": pa.array(mean[0], mask=none),
+                         "background_loss": pa.array(mean[1], mask=none), "difference": pa.array(mean[0] - mean[1], mask=none)})
+    parts = (docs.mapInArrow(send, "chunk long, bucket int, data binary, flags binary, ids binary, sizes binary, nulls binary")
+             .groupBy("bucket").applyInArrow(answer, "chunk long, target binary, background binary, ids binary, sizes binary, nulls binary"))
+    return parts.groupBy("chunk").applyInArrow(total, f"`{id_col}` long, n_words long, target_loss double, background_loss double, difference double")
 
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def test_op9(spark, odd):
                 assert r["difference"] is None
                 continue
             loss = [sum(-math.log((pair[m][b] + 50 / len(words)) / (one[m][b[0]] + 50)) for b in zip([None, *w], w)) / len(w) for m in (0, 1)]
-            assert abs(r["target_loss"] - loss[0]) < 1e-6 and abs(r["background_loss"] - loss[1]) < 1e-6
+            assert abs(r["target_loss"] - loss[0]) < 1e-5 and abs(r["background_loss"] - loss[1]) < 1e-5
 
 
 def test_op10(spark, odd):
