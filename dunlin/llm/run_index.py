@@ -33,7 +33,7 @@ from dunlin.llm.common import _BYTE, U64, materialise, mix, pieces, powers, read
 
 LEAST, KMER = 50, 16
 #: Text of a chunk, of a group of documents, and bytes of blocks in a bucket.
-CHUNK_BYTES, CHUNK_DOCS, GROUP_BYTES, BUCKET_BYTES, ENTRY = 16 << 20, 1 << 16, 8 << 20, 16 << 20, 15
+CHUNK_BYTES, CHUNK_DOCS, GROUP_BYTES, BUCKET_BYTES, ENTRY = 8 << 20, 1 << 16, 4 << 20, 6 << 20, 15
 _PLACE = (1 << 26) - 1
 WHOLE = np.int64(-1)
 
@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets, groups = max(8, int(size / 18 * ENTRY / BUCKET_BYTES) + 1), max(8, int(size / GROUP_BYTES) + 1)
     first = materialise(_first_blocks(docs.where("doc_id is not null"), buckets).groupBy("bucket").applyInArrow(_meet(groups), MARKS), "repeats")
     packed = lambda: _packed_docs(docs, groups).groupBy("grp")
-    edges = packed().cogroup(first.where("edge").select("grp", "marks").groupBy("grp")).applyInArrow(_edge_bytes(buckets), "bucket int, ids binary, numbers binary, sizes binary, bytes binary")
+    edges = packed().cogroup(first.where("edge").select("grp", "marks").groupBy("grp")).applyInArrow(_edge_bytes(4 * buckets), "bucket int, ids binary, numbers binary, sizes binary, bytes binary")
     second = materialise(edges.groupBy("bucket").applyInArrow(_index_edges(groups), MARKS), "edges")
     marks = first.where("not edge").union(second).select("grp", "marks")
 
