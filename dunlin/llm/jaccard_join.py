@@ -139,7 +139,7 @@ def _members(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 h, first = sets(piece.column("text"), n)
                 raw = np.ascontiguousarray((h >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
                 yield pa.RecordBatch.from_pydict({"sid": piece.column("sid"), "items": pa.array([raw[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())})
-    return docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(members, "sid long, items binary").dropDuplicates(["sid"])
+    return docs.join(wanted.hint("merge"), "doc_id").select("sid", "text").mapInArrow(members, "sid long, items binary").dropDuplicates(["sid"])
 
 
 def _keys(raw: bytes) -> np.ndarray:
@@ -156,7 +156,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             odd = np.array([differing(x, y) for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist())], np.int64)
             most = (both - odd) // 2
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(100 * most >= percent * (both - most)))
-    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("r" + c))
+    # both sides grow with the input: the plan is that of a large table at every size
+    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("r" + c)).hint("merge")
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long"), "likely")
 
 
@@ -175,7 +176,7 @@ def _verify(likely: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(out, pa.bool_()))
     named = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id"))
     items = materialise(_members(docs, named, n), "items")
-    side = lambda c: items.select(F.col("sid").alias(c), F.col("items").alias("i" + c))
+    side = lambda c: items.select(F.col("sid").alias(c), F.col("items").alias("i" + c)).hint("merge")
     return likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
 
 
@@ -200,7 +201,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     post = _postings(docs, shared, n, percent)
     # n-grams that stand in one set only are of no use
     shared_tokens = materialise(post.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "tokens")
-    live = materialise(post.join(shared_tokens, "token").groupBy("token", "sid").agg(F.first("place").alias("place"))
+    live = materialise(post.join(shared_tokens.hint("merge"), "token").groupBy("token", "sid").agg(F.first("place").alias("place"))
                        .select("token", "sid", F.shiftright("place", 32).alias("n"), (F.shiftright("place", 32) - F.col("place").bitwiseAND(0xFFFFFFFF)).alias("rest")), "live")
     # the leader has the n-gram foremost: fewest n-grams before it
     leaders = live.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("pos"), F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("rest").alias("lead_rest"))).alias("l")).select("token", "l.*")
