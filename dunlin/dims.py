@@ -68,7 +68,6 @@ MONEY_EDGES = [
     ("settled", "reversed"),
     ("reversed", "at_risk"), ("reversed", "in_treatment"),
 ]
-MONEY_ACCOUNTS = ["external", "at_risk", "in_treatment", "recovered", "settled", "reversed"]
 
 # ---- fixed values: cohort ladder -----------------------------------------------------------
 # level, bucket seconds, lookback buckets
@@ -197,7 +196,6 @@ PII_PATTERNS = [
     ("bank_account", r"(?<!\d)\d{9,18}(?!\d)"),
 ]
 NUMERIC_PII = ["card_pan", "aadhaar", "phone_in", "bank_account"]
-NAME_WORD = r"\b(?:[A-Z][a-z]{2,19}|[A-Z]{3,20})\b"
 NON_NAMES = """
 ACC ACCOUNT ACCT ACH AND AUTO AUTOPAY AVAILABLE BAL BALANCE BANK BLOCKED CANCELLED CARD CHARGE CHEQUE CLOSED
 COLLECT CRD CREDIT DATE DEBIT DECLINE DECLINED DISHONOUR DISHONOURED ECS EMI EXCEEDED EXPIRED FAILED FOR FROM

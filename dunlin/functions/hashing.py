@@ -89,23 +89,19 @@ def signed_at(signature: Column) -> Column:
     return F.timestamp_seconds(F.when(t != "", t).try_cast("long"))
 
 
-def category_bucket(value: Column, buckets: int = 64, max_len: int = 64) -> Column:
+def category_bucket(value: Column, buckets: int = 64) -> Column:
     """Sum of byte · (31^i mod 1000003), modulo 64; NULL for an empty value.
 
-    The powers are a literal array, so the fold is an indexed product over the bytes.
+    The power is carried along the bytes, so a value may have any length.
     """
-    powers, p = [], 1
-    for _ in range(max_len):
-        powers.append(p)
-        p = p * 31
-    powers = [x % 1000003 for x in powers]
     hexed = F.hex(_bytes(value))
     positions = F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1)
-    table = F.array(*[F.lit(x).cast("long") for x in powers])
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("p"))
     total = F.aggregate(
-        positions, F.lit(0).cast("long"),
-        lambda acc, i: acc + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-        * F.element_at(table, i + 1))
+        positions, start,
+        lambda acc, i: F.struct((acc["s"] + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long") * acc["p"]).alias("s"),
+                                (acc["p"] * 31 % 1000003).alias("p")),
+        lambda acc: acc["s"])
     return F.when(F.length(value) > 0, (total % buckets).cast("double"))
 
 

@@ -40,6 +40,24 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+HITS = "array<struct<kind:string,length:int,fingerprint:string>>"
+
+
+def card_segments(text: Column, pattern: str) -> Column:
+    """The text cut at every candidate for a card number: array<struct<part, card>>, in order.
+
+    A candidate counts where it stands, if its check digit holds; the same digits elsewhere, where the
+    pattern does not match, are left for the kinds that follow.  Two control characters mark the cuts and
+    are taken as blanks if the text has them.
+    """
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), pattern, "\x01$0\x02")
+
+    def part(s: Column, i: Column) -> Column:
+        digits = digits_only(s)
+        return F.struct(s.alias("part"), ((i % 2 == 1) & (F.length(digits) <= 19) & luhn_ok(digits)).alias("card"))
+    return F.transform(F.split(marked, "[\x01\x02]"), part)
+
+
 def pii_hits(text: Column, numeric: Column | bool = True) -> Column:
     """array<struct<kind,length,fingerprint>> of personal data found in a text, never the value.
 
@@ -53,17 +71,16 @@ def pii_hits(text: Column, numeric: Column | bool = True) -> Column:
         if not left:
             return F.transform(name_run_words(t), _as_hit("name_token"))
         kind, pattern = left[0]
-        hits = _hits(t, UNI + pattern)
         if kind == "card_pan":
-            hits = F.filter(hits, lambda h: (F.length(digits_only(h)) <= 19) & luhn_ok(digits_only(h)))
+            return bind(card_segments(t, UNI + pattern), lambda s: F.concat(
+                F.when(num, F.transform(F.filter(s, lambda x: x["card"]), lambda x: _as_hit(kind)(x["part"]))).otherwise(F.array().cast(HITS)),
+                bind(F.when(num, F.array_join(F.transform(s, lambda x: F.when(x["card"], F.lit("|")).otherwise(x["part"])), "")).otherwise(t), lambda r: step(r, left[1:]))))
+        hits = _hits(t, UNI + pattern)
         if kind in dims.NUMERIC_PII:
             hits = F.when(num, hits).otherwise(none)
 
         def after(h: Column) -> Column:
-            if kind == "card_pan":       # a candidate that fails the check digit keeps its place
-                rest = F.aggregate(h, t, lambda acc, x: F.replace(acc, x, F.lit("|")))
-            else:
-                rest = F.when(F.size(h) > 0, F.regexp_replace(t, UNI + pattern, "|")).otherwise(t)
+            rest = F.when(F.size(h) > 0, F.regexp_replace(t, UNI + pattern, "|")).otherwise(t)
             return F.concat(F.transform(h, _as_hit(kind)), bind(rest, lambda r: step(r, left[1:])))
         return bind(hits, after)
     masked = F.coalesce(text, F.lit(""))

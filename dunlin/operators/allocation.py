@@ -188,27 +188,29 @@ def spend(table: DataFrame, prices: Mapping[str, float]) -> dict[str, int]:
 
 def solve(candidates: DataFrame, caps: Mapping[str, int], max_shrink: int = 24) -> tuple[dict[str, float], DataFrame, DataFrame | None]:
     """(prices, active candidates, shrunk candidates or None): coordinate ascent, then the tenth with the
-    least adjusted value leaves whenever the plan still exceeds a cap."""
+    least adjusted value leaves whenever the plan still exceeds a cap.  A plan that still does after
+    ``max_shrink`` rounds, or when nobody is left to leave, is an error: it is never returned."""
     active, dropped = candidates, None
     table = compact(active)
     prices = _coordinate(table, caps)
-    for _ in range(max_shrink):
+    for left in range(max_shrink, -1, -1):
         used = spend(table, prices)
-        if all(used[b] <= c for b, c in caps.items()):
+        over = {b: (used[b], c) for b, c in caps.items() if used[b] > c}
+        if not over:
             break
-        cut = bottom_tenth(active, prices)
+        cut = bottom_tenth(active, prices) if left else None
         if cut is None:
-            break
+            raise ValueError(f"no plan within the caps after {max_shrink - left} rounds: (spend, cap) {over}")
         cut = materialise(cut, "shrunk")
         dropped = cut if dropped is None else dropped.unionByName(cut)
         active = materialise(active.join(cut.select("subject_token", "ord"), ["subject_token", "ord"], "left_anti"), "active")
         table = compact(active)
-        prices = _coordinate(table, caps)
+        prices = _coordinate(table, caps, prices)       # the plan changed by a tenth: its prices are near
     return prices, active, dropped
 
 
-def _coordinate(table: DataFrame, caps: Mapping[str, int]) -> dict[str, float]:
-    prices = {b: 0.0 for b in dims.BUDGETS}
+def _coordinate(table: DataFrame, caps: Mapping[str, int], start: Mapping[str, float] | None = None) -> dict[str, float]:
+    prices = {b: 0.0 for b in dims.BUDGETS} | dict(start or {})
     for _ in range(MAX_PASSES):
         before = dict(prices)
         for b in dims.BUDGETS:

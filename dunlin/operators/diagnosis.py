@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from dunlin import dims
 from dunlin.functions import stats, times
+from dunlin.operators import scale
 
 FINEST = dims.LADDER[0][1]
 _SECONDS = {n: s for n, s, _ in dims.LADDER}
@@ -110,18 +111,17 @@ def with_siblings(verdicts: DataFrame) -> DataFrame:
                        "pick.z", "pick.shrunk_rate", F.when(F.col("pick.verdict") == "degraded", F.col("pick.rail")).alias("detected_on"))
 
 
-def downtime(claims: DataFrame, feed: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def downtime(claims: DataFrame, feed: DataFrame) -> DataFrame:
     """Latest end of an announced outage covering the claim's instant.
 
-    Windows are spread over the day buckets they touch, so it is an equi-join on (issuer, day) with
-    the exact bounds as a filter.
+    Of the outages that have begun only the latest end matters: claims and outages stand in one order per
+    issuer, and a running maximum, cut along the time, answers every claim.
     """
-    b = F.explode(F.sequence(times.bucket(F.col("start_ts"), bucket_seconds), times.bucket(F.col("end_ts"), bucket_seconds)))
-    w = feed.select(F.col("issuer").alias("issuer_ref"), "start_ts", "end_ts", b.alias("_d"))
-    c = claims.withColumn("_d", times.bucket(F.col("at_ts"), bucket_seconds))
-    hit = c.select("event_id", "issuer_ref", "_d", "at_ts").join(w, ["issuer_ref", "_d"]).filter(
-        (F.col("at_ts") >= F.col("start_ts")) & (F.col("at_ts") < F.col("end_ts")))
-    return hit.groupBy("event_id").agg(F.max("end_ts").alias("down_until"))
+    rows = feed.select(F.col("issuer").alias("issuer_ref"), F.unix_micros("start_ts").alias("t"), F.lit(0).alias("k"), F.lit(None).cast(claims.schema["event_id"].dataType).alias("event_id"), "end_ts").unionByName(
+        claims.select("issuer_ref", F.unix_micros("at_ts").alias("t"), F.lit(1).alias("k"), "event_id", F.lit(None).cast("timestamp").alias("end_ts"))).filter("issuer_ref is not null and t is not null")
+    last = scale.running(rows, ["issuer_ref"], scale.value_bucket(rows, "t"), [F.col("t"), F.col("k")], maxes={"until": F.col("end_ts")})
+    hit = last.filter((F.col("k") == 1) & (F.unix_micros("until") > F.col("t")))
+    return hit.groupBy("event_id").agg(F.max("until").alias("down_until"))
 
 
 def attempts_since(mandates: DataFrame, attempts: DataFrame) -> DataFrame:

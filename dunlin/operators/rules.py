@@ -23,7 +23,6 @@ ALLOW, DEFER, BLOCK, PERMANENT = 0, 1, 2, 3
 _REMEDY = {"DEFER": DEFER, "BLOCK": BLOCK, "BLOCK_PERMANENT": PERMANENT}
 SLOT_SECONDS = 56.25          # fifteen minutes in sixteen steps
 SLOTS = 16
-KEEP_NEWEST = 15              # the largest limit of any counting rule
 PER_CHANNEL = ("channel_opted_out", "channel_consent")
 # checks whose answer depends on the moment; the others are asked once per claim
 MOVING = ("freeze_until", "attempt_budget", "attempts_per_day", "predebit_notice_lead", "contact_window", "quiet_hours", "blocked_days",
@@ -36,23 +35,37 @@ def _slot(ts: Column, at: Column) -> Column:
     return F.greatest(F.lit(-SLOTS), F.least(F.lit(SLOTS), back)).cast("int")
 
 
-def recent_contacts(contacts: DataFrame, key: str, at: Column, horizon_hours: float = 720.25) -> DataFrame:
+def contact_reach(rules: list[Rule]) -> tuple[int, float]:
+    """How many of the newest contacts, and how many hours back, the given rules can ask for (a quarter hour is added)."""
+    own = [r.params for r in rules if r.check in ("channel_cooldown", "cross_channel_cooldown", "contact_frequency")]
+    return max([p.get("max_contacts", 1) for p in own] or [1]), max([p.get("window_hours", p.get("hours", 0)) for p in own] or [0]) + 0.25
+
+
+def retry_reach(rules: list[Rule]) -> tuple[int, float]:
+    """The same for retries, in days."""
+    own = [r.params for r in rules if r.check in ("attempt_budget", "attempts_per_day")]
+    return max([p.get("max_attempts", p.get("max_per_day", 1)) for p in own] or [1]), max([p.get("window_days", 1) for p in own] or [1]) + 0.25 / 24
+
+
+def recent_contacts(contacts: DataFrame, key: str, at: Column, rules: list[Rule] = ruleset.RULES) -> DataFrame:
     """One bounded array of contacts per key, enough for every rule at ``at`` plus or minus a quarter hour.
 
     A counting rule needs at most its newest ``limit`` events before the moment, a cool-down its newest
-    event per channel and outcome.  So per (key, channel, outcome, slot) the newest fifteen suffice; a
-    hot key is cut down to them inside each map task (window group limit) before anything is shuffled.
+    event per channel and outcome.  So per (key, channel, outcome, slot) the newest ``limit`` suffice, the largest
+    of the given rules; evaluate with the same rules.  A hot key is cut down to them inside each map task (window group limit) before anything is shuffled.
     """
-    near = contacts.filter((F.col("at_ts") >= times.add_seconds(at, -horizon_hours * 3600)) & (F.col("at_ts") < times.add_seconds(at, 900.0)))
+    keep, hours = contact_reach(rules)
+    near = contacts.filter((F.col("at_ts") >= times.add_seconds(at, -hours * 3600)) & (F.col("at_ts") < times.add_seconds(at, 900.0)))
     near = near.select(key, "at_ts", "channel", "outcome", _slot(F.col("at_ts"), at).alias("_s"))
-    top = scale.top_per_key(near, [key, "channel", "outcome", "_s"], [F.col("at_ts").desc()], KEEP_NEWEST)
+    top = scale.top_per_key(near, [key, "channel", "outcome", "_s"], [F.col("at_ts").desc()], keep)
     return top.groupBy(key).agg(F.collect_list(F.struct("at_ts", "channel", "outcome")).alias("contacts"))
 
 
-def recent_retries(retries: DataFrame, key: str, at: Column, horizon_days: float = 30.011) -> DataFrame:
-    near = retries.filter((F.col("at_ts") >= times.add_seconds(at, -horizon_days * 86400)) & (F.col("at_ts") < times.add_seconds(at, 900.0)))
+def recent_retries(retries: DataFrame, key: str, at: Column, rules: list[Rule] = ruleset.RULES) -> DataFrame:
+    keep, days = retry_reach(rules)
+    near = retries.filter((F.col("at_ts") >= times.add_seconds(at, -days * 86400)) & (F.col("at_ts") < times.add_seconds(at, 900.0)))
     near = near.select(key, "at_ts", _slot(F.col("at_ts"), at).alias("_s"))
-    top = scale.top_per_key(near, [key, "_s"], [F.col("at_ts").desc()], KEEP_NEWEST)
+    top = scale.top_per_key(near, [key, "_s"], [F.col("at_ts").desc()], keep)
     return top.groupBy(key).agg(F.collect_list("at_ts").alias("retries"))
 
 

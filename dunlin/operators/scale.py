@@ -51,14 +51,21 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
                       *[F.greatest(F.col(f"_in_{n}"), F.col(f"_off_{n}")).alias(n) for n in maxes])
 
 
-def cut_points(df: DataFrame, column: str, n: int = 64) -> list:
-    """Up to ``n`` approximate quantiles of a numeric column (one aggregation, a fixed-size result).
+#: Rows that one bucket should hold, and the finest grid of quantiles that is ever asked for.
+BUCKET_ROWS, GRID = 250_000, 4096
 
-    Only the balance of the buckets depends on their accuracy, never a result.
+
+def cut_points(df: DataFrame, column: str, n: int | None = None) -> list:
+    """Approximate quantiles of a numeric column: as many as the number of rows calls for, 64 at least.
+
+    One aggregation gives the row count and the grid; only the balance of the buckets depends on their
+    accuracy, never a result.
     """
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column, probs, 1000).alias("q")).first()
-    return sorted(set(v for v in (row["q"] or []) if v is not None))
+    probs = [i / GRID for i in range(1, GRID)]
+    row = df.agg(F.percentile_approx(column, probs, 4 * GRID).alias("q"), F.count(column).alias("n")).first()
+    n = n or min(GRID, max(64, row["n"] // BUCKET_ROWS))
+    every = row["q"] or []
+    return sorted(set(every[i * len(every) // n] for i in range(1, n) if every))
 
 
 def order_bucket(column: Column, cuts: list, descending: bool = False) -> Column:
@@ -76,7 +83,7 @@ def order_bucket(column: Column, cuts: list, descending: bool = False) -> Column
     return -b if descending else b
 
 
-def value_bucket(df: DataFrame, column: str, tie: str | None = None, descending: bool = False, n: int = 64) -> Column:
+def value_bucket(df: DataFrame, column: str, tie: str | None = None, descending: bool = False, n: int | None = None) -> Column:
     """Order bucket of ``column``, in which one heavily repeated value is split further by ``tie``.
 
     Rows that share a value sit in a single-value bucket; those are divided along the ascending tie
@@ -84,9 +91,9 @@ def value_bucket(df: DataFrame, column: str, tie: str | None = None, descending:
     """
     vb = order_bucket(F.col(column), cut_points(df, column, n), descending)
     if tie is None:
-        return vb.cast("long") * 1000
+        return vb.cast("long") * 10_000
     tb = order_bucket(F.col(tie), cut_points(df, tie, n))
-    return vb.cast("long") * 1000 + F.when(vb % 2 == 0, tb).otherwise(0)
+    return vb.cast("long") * 10_000 + F.when(vb % 2 == 0, tb).otherwise(0)
 
 
 def token_number(token: Column) -> Column:
@@ -101,11 +108,6 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
-def salted_count_distinct(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
-    """Distinct values per key by first removing duplicates on (key, value), which spreads hot keys."""
-    return df.select(*keys, column).distinct().groupBy(*keys).agg(F.count(column).alias(alias))
-
-
 def run_length(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], hit: Column, reset: Column,
                alias: str) -> DataFrame:
     """Hits since the last reset, along the order, in one two-level pass.

@@ -69,11 +69,18 @@ def stop_key(name: Column, claim: Column, subject: Column, tenant: Column) -> Co
 def earliest_stop(subscriptions: DataFrame, events: DataFrame) -> DataFrame:
     """First stop event at or after each subscription's start, on (name, match key).
 
-    Events on the tenant key reach every subscription of the tenant, so events are first thinned to
-    one row per (name, key, instant).
+    An as-of join: subscriptions and events stand in one order, latest first, and each subscription takes
+    the nearest event before it.  A key that every run subscribes to is cut along the time.
     """
-    ev = events.groupBy("name", "match_key", "occurred_at").agg(F.min("event_seq").alias("event_seq"))
-    j = subscriptions.join(ev, ["name", "match_key"]).filter(F.col("occurred_at") >= F.col("since"))
+    when = lambda c: -F.unix_micros(c)
+    ev = events.filter("match_key is not null").groupBy("name", "match_key", "occurred_at").agg(F.min("event_seq").alias("event_seq"))
+    hit = F.struct(when("occurred_at").alias("t"), (-F.col("event_seq")).alias("s"))
+    none = F.lit(None)
+    rows = subscriptions.filter("match_key is not null").select("name", "match_key", when("since").alias("t"), F.lit(1).alias("k"), F.col("run_id"), none.cast("struct<t:bigint,s:bigint>").alias("hit")).unionByName(
+        ev.select("name", "match_key", when("occurred_at").alias("t"), F.lit(0).alias("k"), none.cast("long").alias("run_id"), hit.cast("struct<t:bigint,s:bigint>").alias("hit")))
+    near = scale.running(rows, ["name", "match_key"], scale.value_bucket(rows, "t"), [F.col("t"), F.col("k")], maxes={"next": F.col("hit")})
+    j = near.filter("run_id is not null and next is not null").select(
+        "run_id", "name", "match_key", F.timestamp_micros(-F.col("next.t")).alias("occurred_at"), (-F.col("next.s")).alias("event_seq"))
     return j.groupBy("run_id").agg(F.min_by(F.struct("name", "match_key", "occurred_at", "event_seq"), F.struct("occurred_at", "event_seq")).alias("hit")).select("run_id", "hit.*")
 
 

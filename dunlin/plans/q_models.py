@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +75,7 @@ def observations(spark, d) -> DataFrame:
     touch = dec.groupBy("cust").agg(F.count_if(con & times.in_window(F.col("at_ts"), at, 7 * 86400)).alias("contacts_7d"), F.count_if(con).alias("contacts_30d"))
     c = F.col("cust")
     j = hist.join(engaged(spark, d), "cust", "left").join(salary_days(spark, d), "cust", "left").join(touch, "cust", "left").join(rate, "issuer_ref", "left")
-    j = j.withColumn("_all", F.lit(1)).join(med, "_all").drop("_all")       # one median row on a constant key
+    j = j.withColumn("_all", F.lit(1)).join(F.broadcast(med), "_all").drop("_all")       # one row
     return j.select("*", (c * 3).alias("tenure_days"), F.lit(5000).alias("plan_paise"), F.when(c % 2 == 0, "0-30").otherwise("").alias("ageing"), (c % 5).alias("consents_granted"),
                     F.when(c % 3 != 0, F.lit(6000)).alias("mandate_cap_paise"), F.lit("2023-06-01").cast("timestamp").alias("registered_at"), F.when(c % 4 == 0, F.lit("2024-01-20").cast("timestamp")).alias("reissued_at"),
                     F.when(c % 10 == 0, "revoked").otherwise("active").alias("mandate_status"), (c % 7 == 0).alias("degraded"), (c % 4).alias("ptp_total"), (c % 2 * F.when(c % 4 > 0, 1).otherwise(0)).alias("ptp_kept")).na.fill(0, ["contacts_7d", "contacts_30d"])
@@ -253,21 +256,36 @@ def x01e(spark, d):
     return text.scan_pii(t.select("doc_id", "text"), "text").select("doc_id", n.cast("long").alias("emails")).filter("emails > 0")
 
 
-def walk_payload(df: DataFrame, key: str, payload: str, depth: int = 3) -> DataFrame:
-    """(key, path, value, is_key, quoted) rows of a nested JSON object, keys included."""
-    level = df.select(key, F.lit("").alias("path"), F.col(payload).alias("value"))
-    out = None
-    for _ in range(depth):
-        obj = level.filter(F.col("value").startswith("{")).select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
-        path = F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k"))
-        child = obj.select(key, path.alias("path"), "k", F.col("v").alias("value"))
-        arr = level.filter(F.col("value").startswith("[")).select(key, "path", F.posexplode(F.from_json("value", "array<string>")).alias("i", "v"))
-        items = arr.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.lit(None).cast("string").alias("k"), F.col("v").alias("value"))
-        level = child.unionByName(items)
-        rows = level.select(key, "path", "k", "value")
-        out = rows if out is None else out.unionByName(rows)
-        level = level.select(key, "path", "value")
-    return out
+def walk_payload(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, path, value, is_key): every leaf and every object key of a JSON value, at any depth.
+
+    Numbers keep their spelling; a payload that is no JSON is one leaf; null gives no row.
+    """
+    def walk(batches):
+        for batch in batches:
+            ids, paths, values, keys = [], [], [], []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if raw is None:
+                    continue
+                try:
+                    todo = [("", json.loads(raw, parse_int=str, parse_float=str))]
+                except (ValueError, RecursionError):
+                    todo = [("", raw)]
+                while todo:
+                    path, value = todo.pop()
+                    if isinstance(value, dict):
+                        for k, v in value.items():
+                            at = f"{path}.{k}" if path else k
+                            todo.append((at, v))
+                            ids.append(i), paths.append(at), values.append(k), keys.append(True)
+                    elif isinstance(value, list):
+                        todo.extend((f"{path}[{n}]", v) for n, v in enumerate(value))
+                    elif value is not None:
+                        leaf = value if isinstance(value, str) else json.dumps(value)
+                        ids.append(i), paths.append(path), values.append(leaf), keys.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(paths, pa.string()), pa.array(values, pa.string()), pa.array(keys, pa.bool_())], names=[key, "path", "value", "is_key"])
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, payload).mapInArrow(walk, f"{key} {kind}, path string, value string, is_key boolean")
 
 
 @query("x02_payload_walk", """select event_id, 'amount_paise' as path, '' as kinds from presentations union all select event_id, 'props.k', '' from presentations union all select event_id, 'contact.email', 'email' from presentations
@@ -277,13 +295,14 @@ def x02(spark, d):
     u = F.lpad(F.col("user_id").cast("string"), 8, "0")
     body = F.concat(F.lit('{"amount_paise":9876543210,"props":{"k":'), F.col("k").cast("string"), F.lit('},"contact":{"email":"u'), u, F.lit('@example.com","phones":["98'), u, F.lit('"]}}'))
     rows = walk_payload(p.select("event_id", body.alias("payload")), "event_id", "payload")
-    leaf = rows.filter(~F.col("value").startswith("{") & ~F.col("value").startswith("["))
+    leaf = rows.select("event_id", "path", "value", "is_key")
     name = F.regexp_replace(F.element_at(F.split("path", r"\."), -1), r"\[.*", "")
     safe = F.lit(False)
     for s in dims.NUMERIC_SAFE_SUFFIXES:
         safe = safe | name.endswith(s)
-    hits = text.scan_pii(leaf.select("event_id", "path", "value"), "value", numeric=~(safe & F.col("value").rlike(r"^-?\d+(\.\d+)?$")))
-    return hits.select("event_id", "path", F.array_join(F.array_distinct(F.transform("pii", lambda h: h["kind"])), ",").alias("kinds"))
+    hits = text.scan_pii(leaf, "value", numeric=~(safe & F.col("value").rlike(r"^-?\d+(\.\d+)?$")))
+    found = hits.filter(~F.col("is_key") | (F.size("pii") > 0))       # a key is only reported if it is itself personal data
+    return found.select("event_id", "path", F.array_join(F.array_distinct(F.transform("pii", lambda h: h["kind"])), ",").alias("kinds"))
 
 
 def _redact_sql(col: str) -> tuple[str, str]:

@@ -149,10 +149,6 @@ def r11(spark, d):
     return out.groupBy("budget").agg(F.count_if(F.col("status") == "expired").alias("expired"), F.sum("credit").alias("credit"))
 
 
-_ADMIT = f"""{_CAPS}, want as (select idempotency_key, claim_no, budget, amount from reservations where status = 'soft'), run as (select *, sum(amount) over (partition by budget order by claim_no rows unbounded preceding) as used from want),
-      bad as (select min(claim_no) as claim_no from run)"""
-
-
 @query("m24_batch_reservation")
 def m24(spark, d):
     """New reservations admitted in claim order within what is left, all six budgets or none; known keys are skipped."""

@@ -114,16 +114,20 @@ def r07(spark, d):
     return J.read_back(spark, out, s.schema).select("source", "tripped_us")
 
 
-@query("r08_promise_tracker", "select p.claim_no, min(epoch_us(q.paid_at)) as paid_us from promises p join payments q on q.claim_no = p.claim_no and q.paid_at >= p.made_at and q.paid_at <= p.due_at + interval 36 hour group by 1")
+@query("r08_promise_tracker", "select p.claim_no, coalesce(min(epoch_us(q.paid_at)), -1) as paid_us from promises p left join payments q on q.claim_no = p.claim_no and q.paid_at >= p.made_at and q.paid_at <= p.due_at + interval 36 hour group by 1")
 def r08(spark, d):
-    """Promises kept by their deadline, from the outer join of two streams."""
+    """Every promise with its first payment by its own deadline, or -1: the outer join of two streams.
+
+    The stream gives an unpaid promise once the watermark has passed its longest term; those it still
+    holds when the input ends are the ones not yet written, and are still open."""
     p, ps = landed(spark, d, "promises", lambda: B.promises(spark, d).select("claim_no", "made_at", "due_at"), "made_at")
     q, qs = landed(spark, d, "payments", lambda: B.payments(spark, d).select("claim_no", "paid_at"), "paid_at")
     s = J.promise_tracker(J.stream(spark, p, ps, 4), J.stream(spark, q, qs, 4))
     out = scratch_path(spark, "tracked")
     J.drain(s, J.append_to(out))
-    kept = J.read_back(spark, out, s.schema).filter(F.col("paid_at").isNotNull())
-    return kept.groupBy("claim_no").agg(F.unix_micros(F.min("paid_at")).alias("paid_us"))
+    seen = J.read_back(spark, out, s.schema).groupBy("claim_no").agg(F.min("paid_at").alias("paid_at"))
+    every = B.promises(spark, d).select("claim_no").distinct()
+    return every.join(seen, "claim_no", "left").select("claim_no", F.coalesce(F.unix_micros("paid_at"), F.lit(-1)).alias("paid_us"))
 
 
 @query("r09_cancel_on_stop", same_as="j14_earliest_stop")
@@ -163,14 +167,16 @@ def r10s(spark, d):
 
 @query("r10_scheduled_action")
 def r10(spark, d):
-    """Up to three deferrals, then back to the allocator; one row per scheduled action."""
+    """Up to three deferrals, then back to the allocator; one row per scheduled action.
+
+    A blocked action stays BLOCKED, and one whose deferrals are used up is REQUEUED; both go back (requeued)."""
     from dunlin.session import materialise
     base, done = scheduled(spark, d), None
     rows = base
     for hop in range(4):
         x = materialise(gate_step(rows, hop), "hop")
         fin = x.filter(F.col("outcome") != "DEFER") if hop < 3 else x.withColumn("outcome", F.when(F.col("outcome") == "DEFER", "REQUEUED").otherwise(F.col("outcome")))
-        fin = fin.select("claim_id", "action", F.when(F.col("outcome") == "BLOCKED", "REQUEUED").otherwise(F.col("outcome")).alias("outcome"), "hops")
+        fin = fin.select("claim_id", "action", "outcome", F.col("outcome").isin("BLOCKED", "REQUEUED").alias("requeued"), "hops")
         done = fin if done is None else done.unionByName(fin)
         wait = x.filter(F.col("outcome") == "DEFER").select("claim_id", F.col("defer_until").alias("_due"))
         rows = base.join(wait, "claim_id").withColumn("due_at", F.col("_due")).drop("_due")

@@ -24,8 +24,6 @@ TABLES = {
 
 DELIVERY = "archive_id long, source string, raw binary, signature string, received_at timestamp"
 
-PRESENTATION = "event_id string, issuer_ref string, rail string, at timestamp, succeeded boolean"
-
 # One struct per dialect; every leaf that may arrive as a number or a string is read as a string.
 _CUSTOMER = "id string, name string, email string, contact string"
 _NOTES = "account_id string, attempt string, initiated_by string"

@@ -38,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder, a temporary one in tests."""
+    """Folder all executors can reach: the cluster's checkpoint folder; on a local master, where all share
+    one machine, a temporary one if none is set.  Elsewhere a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = spark.conf.get("dunlin.test.checkpoint.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -52,14 +55,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate result as parquet in the shared folder and read it back.
 

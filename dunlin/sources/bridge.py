@@ -345,7 +345,7 @@ def gate_context(spark: SparkSession, d: str) -> DataFrame:
     """
     from dunlin.operators import rules
     at = at_lit()
-    con = contacts(spark, d, since_hours=720.25)
+    con = contacts(spark, d, since_hours=rules.contact_reach(rules.ruleset.RULES)[1])
     k = rules.recent_contacts(con, "cust", at)
     r = rules.recent_retries(retries(spark, d), "cust", at)
     s = subjects(spark, d).withColumn("consent", rules.consent_map(F.col("consent"))).drop("subject_token")

@@ -97,7 +97,6 @@ ALL_CLASSES = [*PROJECT_CLASSES, "RUNTIME"]
 VERDICTS = ["allow", "defer", "block", "block_permanent"]
 HARD_DECLINES = ["lost_or_stolen", "account_closed", "stop_payment"]
 DO_NOT_RETRY = ["MAC03", "MD06", "R08", "R16", "AC03"]
-DISCLOSING = ["voice_call", "human_handoff", "instalment_offer", "statutory_notice"]
 
 
 def load(rules: list[Rule] | None = None) -> list[Rule]:

@@ -157,11 +157,12 @@ def source_breaker(events: DataFrame, threshold: int = 20, cooldown_s: int = 300
     return x.groupBy("source").applyInPandasWithState(step, "source string, tripped_us long", "fails long, opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def promise_tracker(promises: DataFrame, payments: DataFrame, grace_hours: int = 36) -> DataFrame:
-    """Payments by the deadline; a promise without one comes out with NULL once the watermark passes it."""
+def promise_tracker(promises: DataFrame, payments: DataFrame, grace_hours: int = 36, longest_days: int = 31) -> DataFrame:
+    """Payments by each promise's own deadline; a promise without one comes out with NULL once the watermark
+    passes it.  ``longest_days`` is the longest term of a promise: it bounds the state that the join keeps."""
     p = promises.withWatermark("made_at", "1 day").withColumn("deadline", F.col("due_at") + F.expr(f"interval {grace_hours} hours"))
     q = payments.withColumnRenamed("claim_no", "paid_claim").withWatermark("paid_at", "1 day")
-    cond = F.expr("claim_no = paid_claim and paid_at >= made_at and paid_at <= made_at + interval 7 days + interval {} hours".format(grace_hours))
+    cond = F.expr("claim_no = paid_claim and paid_at >= made_at and paid_at <= due_at + interval {0} hours and paid_at <= made_at + interval {1} days".format(grace_hours, longest_days))
     return p.join(q, cond, "leftOuter").select("claim_no", "made_at", "deadline", "paid_at")
 
 

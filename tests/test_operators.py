@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -111,6 +113,11 @@ def test_price_equals_bisection(spark):
         assert abs(L.price_of(t, dim, cap, others) - bisection(rows, dim, cap, others)) < 1e-6, dim
 
 
+def test_a_plan_over_its_caps_is_an_error(spark):
+    with pytest.raises(ValueError, match="no plan within the caps"):
+        L.solve(spark.createDataFrame(planted(20, 6), SCHEMA), {"contact": -1}, max_shrink=1)
+
+
 def test_solution_respects_caps_and_slack(spark):
     c = spark.createDataFrame(planted(60, 6), SCHEMA)
     caps = {"contact": 15, "voice": 5, "rupee": 3600, "retry": 200}
