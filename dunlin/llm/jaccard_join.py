@@ -240,3 +240,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of `documents` under links of 85 % of distinct 4-word shingles."""
     member, _ = join(read(spark, sf_dir, "documents"), 4, 85)
     return member.select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM c JOIN n AS a ON a.doc_id = u JOIN n AS b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""

@@ -386,3 +386,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of `documents` under 50-byte strings that also begin in an earlier document."""
     return remove_repeats(read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS m FROM p GROUP BY 1),
+s AS (SELECT doc_id, i FROM p JOIN f USING (g) WHERE m < doc_id),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS l FROM s),
+k AS (SELECT doc_id, i, sum(CASE WHEN l IS NULL OR i > l + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, k),
+v AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM r),
+c AS (SELECT v.doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS e, string_agg(substr(x, CAST(2 * v.e + 1 AS BIGINT), CAST(2 * (a - v.e) AS BIGINT)), '' ORDER BY a) AS h FROM v JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(from_hex(coalesce(h, '') || substr(x, CAST(2 * coalesce(e, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
