@@ -220,9 +220,14 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     reach = F.least("rest_a", "rest_b")
     cross = (side("a").join(side("b"), "token").where("component_a < component_b")
              .where((100 * reach >= percent * (F.col("least_a") + F.col("least_b") - reach)) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
-             .select("token", "component_a", "component_b"))
+             .select("token", "component_a", "component_b", "least_b", "most_b", "rest_b"))
     member_of = lambda c: left.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("component", "sid", "n", "rest")])
-    rest = (cross.join(member_of("a"), ["token", "component_a"]).join(member_of("b"), ["token", "component_b"])
+    # of a component's sets only those come forward that can still reach the best of the other component
+    own = F.least("ra", "rest_b")
+    forward = (cross.join(member_of("a").withColumnRenamed("rest_a", "ra"), ["token", "component_a"])
+               .where((100 * own >= percent * (F.col("n_a") + F.col("least_b") - own)) & (100 * F.col("n_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("n_a")))
+               .select("token", "component_b", "sid_a", "n_a", F.col("ra").alias("rest_a")))
+    rest = (forward.join(member_of("b"), ["token", "component_b"])
             .where(_fits(F.col("n_a"), F.col("rest_a"), F.col("n_b"), F.col("rest_b"), percent))
             .select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     links = materialise(links.union(_verify(_likely(rest, classes, percent), docs, classes, n, percent)), "links")
