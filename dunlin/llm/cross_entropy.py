@@ -25,8 +25,8 @@ from dunlin.llm.common import U64, materialise, mix, pieces, read, text_buffer,
 
 #: Weight of the uniform part of a model, in counts.
 K = 50.0
-#: Text and documents of a chunk, entries (a bigram or context of a document) in a bucket, bytes of a key.
-CHUNK_BYTES, CHUNK_DOCS, BUCKET_ENTRIES, KEY_BYTES = 8 << 20, 1 << 16, 3_000_000, 6
+#: Text and documents of a chunk, entries (a bigram or context of a document) in a bucket, bits of a key.
+CHUNK_BYTES, CHUNK_DOCS, BUCKET_ENTRIES, KEY_BITS = 8 << 20, 1 << 16, 3_000_000, 48
 _START, _CONTEXT, _BIGRAM = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179), U64(0x510E527FADE682D1)
 
 
@@ -78,13 +78,15 @@ def entries(h: np.ndarray, first: np.ndarray):
 
 
 def _packed(key, row, count) -> bytes:
-    """Entries: each distinct key once (48 bits) with its number of rows, the rows (16 bits), and the counts
-    above one.  More than 255 rows repeat the key, counts above 255 the row."""
+    """Entries: each distinct key once (48 bits, as the difference from the one before), the number of its rows
+    if more than one, the rows (16 bits), and the counts above one.  More than 255 rows repeat the key, counts
+    above 255 the row."""
     if len(count) and count.max() > 255:
         times = -(-count // 255)
         at = np.repeat(np.arange(len(count)), times)
         left = count[at] - 255 * (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
         key, row, count = key[at], row[at], np.minimum(left, 255)
+    key = key & U64((1 << KEY_BITS) - 1)
     order = np.argsort(key, kind="stable")
     key, row, count = key[order], row[order], count[order]
     at = np.arange(len(key))
@@ -92,26 +94,33 @@ def _packed(key, row, count) -> bytes:
     new[1:] = key[1:] != key[:-1]
     new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % 255 == 0
     begin = np.flatnonzero(new)
-    keys = np.ascontiguousarray(key[begin].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-    many = count > 1
-    return b"".join([np.array([len(begin), len(key)], "<u4").tobytes(), keys.tobytes(), np.diff(np.append(begin, len(key))).astype(np.uint8).tobytes(),
-                     row.astype("<u2").tobytes(), np.packbits(many).tobytes(), count[many].astype(np.uint8).tobytes()])
+    step = np.diff(key[begin], prepend=U64(0))
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    steps = np.ascontiguousarray(step.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    times, many = np.diff(np.append(begin, len(key))), count > 1
+    return b"".join([np.array([len(begin), len(key), int((times > 1).sum()), width], "<u4").tobytes(), steps.tobytes(), np.packbits(times > 1).tobytes(),
+                     times[times > 1].astype(np.uint8).tobytes(), row.astype("<u2").tobytes(), np.packbits(many).tobytes(), count[many].astype(np.uint8).tobytes()])
 
 
 def _unpacked(raw: bytes):
-    keys, n = np.frombuffer(raw, "<u4", 2).tolist()
-    at = 8
-    key = np.zeros((keys, 8), np.uint8)
-    key[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8, keys * KEY_BYTES, at).reshape(keys, KEY_BYTES)
-    at += keys * KEY_BYTES
-    times = np.frombuffer(raw, np.uint8, keys, at)
-    at += keys
-    row = np.frombuffer(raw, "<u2", n, at).astype(np.int32)
-    at += 2 * n
-    many = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    keys, n, several, width = np.frombuffer(raw, "<u4", 4).tolist()
+    at = 16
+
+    def part(kind, size):
+        nonlocal at
+        out = np.frombuffer(raw, kind, size, at)
+        at += out.nbytes
+        return out
+    step = np.zeros((keys, 8), np.uint8)
+    step[:, :width] = part(np.uint8, keys * width).reshape(keys, width)
+    times = np.ones(keys, np.int64)
+    more = np.unpackbits(part(np.uint8, -(-keys // 8)), count=keys).astype(bool)
+    times[more] = part(np.uint8, several)
+    row = part("<u2", n).astype(np.int32)
+    many = np.unpackbits(part(np.uint8, -(-n // 8)), count=n).astype(bool)
     count = np.ones(n, np.float32)
-    count[many] = np.frombuffer(raw, np.uint8, -1, at + -(-n // 8))
-    return np.repeat(key.view("<u8")[:, 0], times), row, count
+    count[many] = part(np.uint8, -1)
+    return np.repeat(np.cumsum(step.view("<u8")[:, 0], dtype=np.uint64), times), row, count
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: float = K) -> DataFrame:
@@ -123,7 +132,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(size / 5 * 1.3 / BUCKET_ENTRIES) + 1)
     vocabulary = max(vocabulary_size(docs, buckets), 1)
-    docs = docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    # the marks grow with the input: the plan is that of a large table at every size
+    docs = docs.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
 
     def send(batches):
         keys, rows, counts, ids, marked, sizes, held = [], [], [], [], [], [], 0
