@@ -5,7 +5,7 @@ A byte is a repeat if a string of `least` bytes over it also begins in a documen
 Every string of that length has an anchor, its least k-mer by hash; strings with the same anchor follow
 each other and make a block.  Equal strings have equal anchors, so an exchange by anchor finds all repeats:
 
-1.  Blocks travel as fifteen bytes (hashes of anchor and content, and where they are).  Equal content in an
+1.  Blocks travel as sixteen bytes (hashes of anchor and content, and where they are).  Equal content in an
     earlier document settles a block; within a chunk of documents this is done before the exchange, so that
     a passage in many documents costs a row for each chunk.
 2.  Blocks that share only the anchor, the edges of repeats, are sent with their bytes.  Each bucket builds
@@ -33,20 +33,46 @@ from dunlin.llm.common import _BYTE, U64, materialise, mix, pieces, powers, read
 
 LEAST, KMER = 50, 16
 #: Text of a chunk, of a group of documents, and bytes of blocks in a bucket.
-CHUNK_BYTES, CHUNK_DOCS, GROUP_BYTES, BUCKET_BYTES, ENTRY = 8 << 20, 1 << 16, 4 << 20, 6 << 20, 15
+CHUNK_BYTES, CHUNK_DOCS, GROUP_BYTES, BUCKET_BYTES, ENTRY = 8 << 20, 1 << 16, 4 << 20, 6 << 20, 16
+#: Strings of a text whose anchors are found at once: the places of a part are below 2^26.
+PART = 8 << 20
 _PLACE = (1 << 26) - 1
 WHOLE = np.int64(-1)
 
 
 # ---------------------------------------------------------------- blocks
 
+def _content(data: np.ndarray, strings: int) -> np.ndarray:
+    """The content hash of a block, from its bytes."""
+    return mix((_BYTE[data] * powers(len(data))[0]).sum(dtype=np.uint64, keepdims=True) + U64(strings - 1))
+
+
 def blocks(data: np.ndarray, off: np.ndarray, least: int = LEAST, k: int = KMER):
-    """row, s0, s1 (first and last string), anchor hash, content hash of every block, in order."""
-    if len(data) > 64 * (1 << 20):          # a very long text in overlapping parts; anchors do not depend on the cut
-        raise ValueError("a text of more than 64 MB")
+    """row, s0, s1 (first and last string), anchor hash, content hash of every block, in order.
+
+    A long text goes in parts that overlap by `least` - 1 bytes.  Anchors do not depend on the cut; a block
+    that the cut divides is joined."""
     n = len(data) - least + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    found = []
+    for p in range(0, n, PART):
+        own = data[p:min(p + PART, n) + least - 1]
+        s0, s1, at, anchor, content = _part(own, np.clip(off - p, 0, len(own)), least, k)
+        s0, s1, at = s0 + p, s1 + p, at + p
+        last = found[-1] if found else None
+        if last and len(s0) and len(last[0]) and last[1][-1] == p - 1 and s0[0] == p and last[2][-1] == at[0]:
+            s0[0] = last[0][-1]
+            content[:1] = _content(data[s0[0]:s1[0] + least], int(s1[0] - s0[0]) + 1)
+            found[-1] = tuple(x[:-1] for x in last)
+        found.append((s0, s1, at, anchor, content))
+    s0, s1, _, anchor, content = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+    return np.searchsorted(off, s0, side="right") - 1, s0, s1, anchor, content
+
+
+def _part(data: np.ndarray, off: np.ndarray, least: int, k: int):
+    """s0, s1, place of the anchor, anchor hash and content hash of the blocks of a part."""
+    n = len(data) - least + 1
     p, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p, out=sums[1:])
@@ -64,7 +90,7 @@ def blocks(data: np.ndarray, off: np.ndarray, least: int = LEAST, k: int = KMER)
     last[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
     s0, s1 = np.flatnonzero(first), np.flatnonzero(last)
     content = mix((sums[s1 + least] - sums[s0]) * inverse[s0] + (s1 - s0).astype(np.uint64))
-    return np.searchsorted(off, s0, side="right") - 1, s0, s1, h[at[s0]], content
+    return s0, s1, at[s0], h[at[s0]], content
 
 
 def ordinals(row: np.ndarray, rows: int) -> np.ndarray:
@@ -153,7 +179,7 @@ def _by(number: np.ndarray, count: int):
 
 
 def _first_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, ids, entries (15 bytes), settled: the blocks of each chunk by anchor, and those settled in it."""
+    """bucket, ids, entries (16 bytes), settled: the blocks of each chunk by anchor, and those settled in it."""
     def run(batches):
         parts, ids, held = [], [], 0
 
@@ -167,7 +193,7 @@ def _first_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             lead = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
             later = own[row] != own[row[lead]]
             entry = np.empty((len(row), ENTRY), np.uint8)
-            for at, size, x in ((0, 5, anchor), (5, 5, content), (10, 2, row.astype(np.uint64)), (12, 3, number.astype(np.uint64))):
+            for at, size, x in ((0, 5, anchor), (5, 5, content), (10, 2, row.astype(np.uint64)), (12, 4, number.astype(np.uint64))):
                 entry[:, at:at + size] = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
             settled = np.stack([own[row], number], axis=1)
             out = []
@@ -212,7 +238,7 @@ def _meet(groups: int):
         for r in table.to_pylist():
             x = np.frombuffer(r["entries"], np.uint8).reshape(-1, ENTRY)
             wide = []
-            for at, size in ((0, 5), (5, 5), (10, 2), (12, 3)):
+            for at, size in ((0, 5), (5, 5), (10, 2), (12, 4)):
                 y = np.zeros((len(x), 8), np.uint8)
                 y[:, :size] = x[:, at:at + size]
                 wide.append(y.view("<u8")[:, 0])
