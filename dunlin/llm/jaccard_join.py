@@ -13,8 +13,8 @@ group of near copies, the one with the fewest n-grams of its own); then, and onl
 yet connected, all remaining candidates are verified.  So components are exact.
 
 Defined results: null text, and text without words, is an empty set, linked with nothing; fewer words
-than n give one n-gram, the whole sequence; equal ids count as rows of one node; an empty table gives an
-empty one; other columns are ignored.
+than n give one n-gram, the whole sequence; equal ids count as rows of one node; a row without an id is linked
+with nothing, and has no component; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,10 +195,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     profile = materialise(_profile(docs, n), "profile")
     shared = _count_classes(profile)
     info = profile.where("row is null").select("doc_id", "n", "sid", "parity")
-    classes = materialise(info.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "parity")).alias("m"))
+    # a row without an id stands for no set and links none
+    classes = materialise(info.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "parity")).alias("m"))
                           .select("sid", F.col("m.doc_id").alias("class_id"), F.col("m.n").alias("n"), F.col("m.parity").alias("parity")), "classes")
 
-    post = _postings(docs, shared, n, percent)
+    post = _postings(docs.where("doc_id is not null"), shared, n, percent)
     # n-grams that stand in one set only are of no use
     shared_tokens = materialise(post.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "tokens")
     live = materialise(post.join(shared_tokens.hint("merge"), "token").groupBy("token", "sid").agg(F.first("place").alias("place"))
@@ -235,7 +236,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     to_class = lambda c: classes.select(F.col("sid").alias(c), F.col("class_id").alias("class_" + c))
     by_class = links.join(to_class("a"), "a").join(to_class("b"), "b").select("class_a", "class_b")
     label = components(by_class)
-    member = (info.drop("parity").join(classes.select("sid", "class_id"), "sid", "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    member = (info.drop("parity").join(classes.select("sid", "class_id"), "sid", "left").withColumn("class_id", named).join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
               .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                       F.coalesce("component", "class_id", "doc_id").alias("component_id")))
     return member, by_class
