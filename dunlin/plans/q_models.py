@@ -195,7 +195,7 @@ def m03(spark, d):
 
 @query("m04_x_learner")
 def m04(spark, d):
-    """Mean blended effect per action and decile of the held-out score."""
+    """Mean, least and greatest blended effect per action, over the rows that the models were fitted on."""
     rows = training_log(spark, d)
     x = L.XLearner(_FN).fit(rows, ["sms", "voice_call", "retry", "email"])
     out = None
@@ -225,7 +225,7 @@ def m06p(spark, d):
 
 @query("m06_promise_hazard")
 def m06(spark, d):
-    """Kept probability per promise horizon from the weighted discrete hazard."""
+    """Kept probability per promise horizon from the weighted discrete hazard of one feature, over the promises that it was fitted on."""
     rows = promise_rows(spark, d).withColumn("horizon_days", F.col("horizon_days").cast("double"))
     model = L.fit_hazard(L.person_periods(rows), ["f_size"])
     s = L.survival(model, rows.select("claim_no", "f_size", "horizon_days"), "claim_no").join(rows.select("claim_no", "horizon_days", "kept"), "claim_no")
