@@ -59,6 +59,8 @@ def write(folder, docs):
     if docs:
         rows += [(400, vectors[0]), (401, vectors[0]), (401, vectors[0]), (402, None), (403, [0.0] * 16), (404, [None] + [1.0] * 15), (405, [float("nan")] + [1.0] * 15), (406, []), (450, [1.0, 2.0]), (451, [2.0, 1.0]), (None, vectors[5])]
     pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "rank": pa.array([1] * len(rows), pa.int32()), "block": pa.array([1] * len(rows), pa.int64())}), f"{folder}/embeddings.parquet")
+    talk = [(c, t, ("user", "assistant")[t % 2], f"turn {c} {t}.") for c in range(30) for t in range(4)] if docs else []
+    pq.write_table(pa.table({n: pa.array([r[k] for r in talk], pa.int64() if k < 2 else pa.string()) for k, n in enumerate(("conv_id", "turn", "role", "text"))}), f"{folder}/conversations.parquet")
     return folder
 
 
