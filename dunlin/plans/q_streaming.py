@@ -18,6 +18,7 @@ from dunlin.plans.sqlbridge import AT
 from dunlin.session import scratch_path, table
 from dunlin.sources import bridge as B
 from dunlin.streaming import jobs as J
+from dunlin.streaming import keyed
 
 _PATHS: dict = {}
 
@@ -90,7 +91,8 @@ def account_final(spark, d) -> DataFrame:
     """Deduplicated events land in a folder; the account state is a stream over that folder."""
     out, ded = scratch_path(spark, "accounts-in"), J.dedupe(accepted_stream(spark, d))
     J.drain(ded, path=out)
-    return J.updates(J.account_state(J.stream(spark, out, ded.schema)), ["account_ref"], "accounts")
+    parts = J.updates(keyed.account_state(J.stream(spark, out, ded.schema)), ["account_ref", "salt", "epoch"], "accounts")
+    return keyed.account_totals(parts)
 
 
 @query("r05_decline_windows", same_as="a01_cohort_cells")
@@ -187,5 +189,6 @@ def r10(spark, d):
 def r12(spark, d):
     kinds = dict(zip([f for f, _ in dims.FRESHNESS_TTL], ["view", "click", "purchase", "signup"]))
     path, schema = landed(spark, d, "events", lambda: table(spark, d, "events"), "ts")
-    s = J.freshness(J.stream(spark, path, schema).filter(F.col("ts") < B.at_lit()), kinds)
-    return J.updates(s, ["user_id"], "fresh").select("user_id", F.array_join(stale_families(B.at_lit()), ",").alias("stale"))
+    events = J.stream(spark, path, schema).filter(F.col("ts") < B.at_lit())
+    fresh = keyed.last_seen(J.updates(keyed.freshness(events, kinds), ["user_id", "salt", "epoch"], "fresh"), list(kinds))
+    return fresh.select("user_id", F.array_join(stale_families(B.at_lit()), ",").alias("stale"))

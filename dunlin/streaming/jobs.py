@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from dunlin.functions import times
 from dunlin.operators import diagnosis, ingest, scale
 from dunlin.session import scratch_path
+from dunlin.streaming import keyed
 
 LATE = "30 days"
 
@@ -45,11 +46,19 @@ def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(df: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", path: str | None = None) -> None:
-    """Run the stream until its input is consumed."""
+def drain(df: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", path: str | None = None, state: str | None = None) -> None:
+    """Run the stream until its input is consumed.
+
+    `state` names the stream's checkpoint folder: a run with the folder of an earlier one goes on where that stopped,
+    and repeats the batch that was not finished.  Without it the stream starts over."""
     spark = df.sparkSession
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True)
-    q = (w.foreachBatch(each) if each else w.format("parquet").option("path", path)).start()
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", state or scratch_path(spark, "stream-state")).trigger(availableNow=True)
+    provider = spark.conf.get(keyed.PROVIDER)
+    spark.conf.set(keyed.PROVIDER, keyed.ROCKSDB)          # read when the stream starts
+    try:
+        q = (w.foreachBatch(each) if each else w.format("parquet").option("path", path)).start()
+    finally:
+        spark.conf.set(keyed.PROVIDER, provider)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -73,10 +82,10 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
 
 
-def updates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def updates(df: DataFrame, keys: list[str], label: str, state: str | None = None) -> DataFrame:
     """Drain an update-mode aggregation and return the final row of each key."""
     path = scratch_path(df.sparkSession, label)
-    drain(df, append_to(path), mode="update")
+    drain(df, append_to(path), mode="update", state=state)
     return latest(read_back(df.sparkSession, path, df.schema), keys)
 
 
@@ -98,12 +107,6 @@ def dedupe(events: DataFrame) -> DataFrame:
     return events.withWatermark("event_ts", LATE).dropDuplicatesWithinWatermark(["source", "event_id"])
 
 
-def account_state(events: DataFrame) -> DataFrame:
-    """Last word and failed attempts per account; partially aggregated before the state store."""
-    key = F.struct("event_ts", "source", "event_id")
-    return events.groupBy("account_ref").agg(F.max_by(F.struct("event_id", "succeeded"), key).alias("last"), F.count_if(~F.col("succeeded")).alias("failed_attempts"), F.count(F.lit(1)).alias("events"))
-
-
 def decline_windows(presentations: DataFrame) -> DataFrame:
     """The four grains as one stateful aggregation.  The one-day window is a key that changes no group
     (every bucket lies within a day) and lets the watermark evict finished days from the state."""
@@ -164,8 +167,3 @@ def promise_tracker(promises: DataFrame, payments: DataFrame, grace_hours: int =
     q = payments.withColumnRenamed("claim_no", "paid_claim").withWatermark("paid_at", "1 day")
     cond = F.expr("claim_no = paid_claim and paid_at >= made_at and paid_at <= due_at + interval {0} hours and paid_at <= made_at + interval {1} days".format(grace_hours, longest_days))
     return p.join(q, cond, "leftOuter").select("claim_no", "made_at", "deadline", "paid_at")
-
-
-def freshness(events: DataFrame, families: dict[str, str]) -> DataFrame:
-    """Last observation per feature family and account."""
-    return events.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(f) for f, kind in families.items()])
