@@ -32,7 +32,7 @@ def classify(deliveries: DataFrame, secrets: dict[str, bytes]) -> DataFrame:
 
 def consecutive_failures(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], failed: Column, succeeded: Column) -> DataFrame:
     """Add ``fail_run``: failures since the last success, this row included."""
-    return scale.run_length(df, keys, bucket, order, failed, succeeded, "fail_run")
+    return scale.run_length(df, keys, bucket, order, failed, succeeded, "fail_run", split=scale.BUCKET_ROWS)
 
 
 def admit(deliveries: DataFrame, secrets: dict[str, bytes], seen: DataFrame | None = None, at: Column | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ ORDER_KEY = ["event_ts", "source", "event_id"]
 
 def event_order(events: DataFrame, day: Column) -> DataFrame:
     """Position of each event in its account's (time, source, id) order."""
-    return scale.running(events, ["account_ref"], day, [F.col(c) for c in ORDER_KEY], rank="position")
+    return scale.running(events, ["account_ref"], day, [F.col(c) for c in ORDER_KEY], rank="position", split=scale.BUCKET_ROWS)
 
 
 def fold_by_account(events: DataFrame) -> DataFrame:
@@ -189,5 +189,5 @@ def claim_violations() -> Column:
 def next_record_seq(existing: DataFrame, incoming: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     """Sequence numbers continue after the highest one stored for the subject."""
     top = existing.groupBy("subject_token").agg(F.max("record_seq").alias("_top"))
-    r = scale.running(incoming, ["subject_token"], bucket, [F.col(c) for c in order], rank="_rn")
+    r = scale.running(incoming, ["subject_token"], bucket, [F.col(c) for c in order], rank="_rn", split=scale.BUCKET_ROWS)
     return r.join(top, "subject_token", "left").withColumn("record_seq", F.coalesce("_top", F.lit(0)) + F.col("_rn")).drop("_top", "_rn")

@@ -23,7 +23,7 @@ def split_by_account(rows: DataFrame, holdout: float, seed: int, key: str = "acc
     """Add ``is_train``: a fixed share of accounts in hash order; rows of an account stay together."""
     acc = rows.select(key).distinct().withColumn("_h", F.sha2(F.concat_ws(hashing.SEP, F.lit(str(seed)), F.col(key).cast("string")), 256))
     acc = acc.withColumn("_n", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long"))
-    r = scale.running(acc, [], F.floor(F.col("_n") / (1 << 40)), [F.col("_n"), F.col("_h")], rank="_p", totals={"_t": F.lit(1).cast("long")})
+    r = scale.running(acc, [], F.floor(F.col("_n") / (1 << 40)), [F.col("_n"), F.col("_h")], rank="_p", totals={"_t": F.lit(1).cast("long")}, split=scale.BUCKET_ROWS)
     cut = F.bround(F.col("_t") * (1.0 - holdout), 0)
     return rows.join(r.select(key, (F.col("_p") <= cut).alias("is_train")), key)
 

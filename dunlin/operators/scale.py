@@ -15,18 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dunlin.session import materialise
+
 
 def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
             sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
-            rank: str | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
+            rank: str | None = None, totals: dict[str, Column] | None = None, split: int | None = None) -> DataFrame:
     """Add inclusive running sums, *exclusive* running maxima and the row number within ``keys``.
 
-    ``bucket`` must be non-decreasing along ``order``.  ``totals`` adds whole-key sums as well.
+    ``bucket`` must be non-decreasing along ``order``.  ``totals`` adds whole-key sums as well.  With ``split``, buckets
+    of more rows than that are cut further along the (ascending) order.
     """
     sums, maxes, totals, keys = dict(sums or {}), dict(maxes or {}), dict(totals or {}), list(keys)
     if rank:
         sums[rank] = F.lit(1).cast("long")
     base = df.withColumn("_bkt", bucket)
+    if split:
+        base = split_hot(base, keys, order, split)
     inside = W.partitionBy(*keys, "_bkt").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
@@ -108,29 +113,67 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
+#: Sampled rows for each bucket into which a hot one is cut.
+SAMPLES = 32
+
+
+def split_hot(base: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows with ``_bkt`` cut along the order wherever a (key, bucket) holds more than about ``rows`` rows.
+
+    The sketch of a (key, bucket) is a sample of its order keys, chosen by their hash at one rate for all; where it has
+    two buckets' worth, every 32nd of the sorted sample is a cut.  Cuts are whole order keys, so rows of one moment part
+    by the tie columns.  There is one cut for each ``rows`` rows; they are sent to every task up to 2^17 of them, and
+    joined by key beyond.  Only the balance depends on the sample, never a result.
+    """
+    keys, every = list(keys), max(rows // SAMPLES, 1)
+    if base.schema["_bkt"].dataType.simpleString() == "date":
+        base = base.withColumn("_bkt", F.unix_date("_bkt"))
+    picked = base.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+    cuts = picked.groupBy(*keys, "_bkt").agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))).alias("_s")).where(F.size("_s") >= 2 * SAMPLES)
+    places = F.sequence(F.lit(SAMPLES), F.size("_s") - SAMPLES // 2, F.lit(SAMPLES))
+    cuts = materialise(cuts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bkt").alias("_k_bkt"), F.array_distinct(F.transform(places, lambda i: F.get("_s", i))).alias("_cuts")), "cuts")
+    size = cuts.agg(F.sum(F.size("_cuts")).alias("n"), F.max(F.size("_cuts")).alias("most")).first()
+    if not size["n"]:
+        return base
+    cond = F.col("_bkt").eqNullSafe(F.col("_k_bkt"))
+    for k in keys:
+        cond = cond & base[k].eqNullSafe(F.col(f"_k_{k}"))
+    out = base.join(F.broadcast(cuts) if size["n"] <= 1 << 17 else cuts, cond, "left").withColumn("_at", F.lit(0))
+    mine = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    for step in reversed(range(size["most"].bit_length())):         # how many cuts are not above the row
+        out = out.withColumn("_at", F.when(F.get("_cuts", F.col("_at") + ((1 << step) - 1)) <= mine, F.col("_at") + (1 << step)).otherwise(F.col("_at")))
+    return out.select(*[c for c in base.columns if c != "_bkt"], (F.col("_bkt").cast("long") * (1 << 32) + F.col("_at")).alias("_bkt"))
+
+
 def run_length(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], hit: Column, reset: Column,
-               alias: str) -> DataFrame:
+               alias: str, split: int | None = None, since: tuple[Column, str] | None = None) -> DataFrame:
     """Hits since the last reset, along the order, in one two-level pass.
 
     Inside a bucket it is the running hit count minus its value at the last reset; earlier buckets
-    contribute their hit total and the (global) hit count at their last reset.
+    contribute their hit total and the (global) hit count at their last reset.  ``since`` adds, under the name given, the
+    largest value that a column has had at a reset so far.  ``split`` is as in :func:`running`.
     """
     keys = list(keys)
     h = F.when(hit, 1).otherwise(0).cast("long")
+    value, name = since or (F.lit(None).cast("long"), None)
     base = df.withColumn("_bkt", bucket)
+    if split:
+        base = split_hot(base, keys, order, split)
     upto = W.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = base.withColumn("_f", F.sum(h).over(upto)).withColumn("_m", F.max(F.when(reset, F.col("_f"))).over(upto))
-    per = local.groupBy(*keys, "_bkt").agg(F.max("_f").alias("_tf"), F.max("_m").alias("_tm"))
+    local = (base.withColumn("_f", F.sum(h).over(upto)).withColumn("_s", F.max(F.when(reset, value)).over(upto))
+             .withColumn("_m", F.max(F.when(reset, F.col("_f"))).over(upto)))
+    per = local.groupBy(*keys, "_bkt").agg(F.max("_f").alias("_tf"), F.max("_m").alias("_tm"), F.max("_s").alias("_ts"))
     earlier = W.partitionBy(*keys).orderBy("_bkt").rowsBetween(W.unboundedPreceding, -1)
     off = per.withColumn("_o", F.coalesce(F.sum("_tf").over(earlier), F.lit(0)))
-    off = off.withColumn("_p", F.max(F.col("_o") + F.col("_tm")).over(earlier))
-    off = off.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bkt").alias("_k_bkt"), "_o", "_p")
+    off = off.withColumn("_p", F.max(F.col("_o") + F.col("_tm")).over(earlier)).withColumn("_q", F.max("_ts").over(earlier))
+    off = off.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bkt").alias("_k_bkt"), "_o", "_p", "_q")
     cond = F.col("_bkt").eqNullSafe(F.col("_k_bkt"))
     for k in keys:
         cond = cond & local[k].eqNullSafe(F.col(f"_k_{k}"))
     total = F.col("_o") + F.col("_f")
     last = F.coalesce(F.greatest(F.col("_p"), F.col("_o") + F.col("_m")), F.lit(0))
-    return local.join(off, cond).select(*df.columns, (total - last).alias(alias))
+    extra = [F.greatest("_s", "_q").alias(name)] if name else []
+    return local.join(off, cond).select(*df.columns, (total - last).alias(alias), *extra)
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, alias: str) -> DataFrame:

@@ -117,7 +117,7 @@ def money_moves(moves: DataFrame, bucket: Column) -> DataFrame:
     legs = moves.select("claim_no", "occurred_at", "group_id", "frm", "to", "amount", F.inline(F.array(
         F.struct(F.col("frm").alias("account"), (-F.col("amount")).alias("d"), F.lit(True).alias("source")),
         F.struct(F.col("to").alias("account"), F.col("amount").alias("d"), F.lit(False).alias("source")))))
-    run = scale.running(legs, ["claim_no", "account"], bucket, [*order, F.col("source")], sums={"after": F.col("d")})
+    run = scale.running(legs, ["claim_no", "account"], bucket, [*order, F.col("source")], sums={"after": F.col("d")}, split=scale.BUCKET_ROWS)
     src = run.filter("source")
     legal = legal_move(F.col("frm"), F.col("to"), dims.MONEY_EDGES)
     return src.withColumn("available", F.col("after") + F.col("amount")).withColumn(
@@ -130,7 +130,7 @@ SEGMENT = 256
 
 def segmented(rows: DataFrame, keys: list[str], order: list[Column], bucket: Column) -> DataFrame:
     """Chain segments: consecutive runs of at most 256 entries per key, by exact position."""
-    r = scale.running(rows, keys, bucket, order, rank="seq")
+    r = scale.running(rows, keys, bucket, order, rank="seq", split=scale.BUCKET_ROWS)
     return r.withColumn("segment", F.floor((F.col("seq") - 1) / SEGMENT).cast("long"))
 
 

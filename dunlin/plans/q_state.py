@@ -306,7 +306,7 @@ def m27(spark, d):
 @query("t08_erasure_history", "select subject_token, claim_no, row_number() over (partition by subject_token order by detected_at, claim_no) as n from claims where cust % 53 = 0")
 def t08(spark, d):
     req = B.claims(spark, d).join(erased(spark, d), "subject_token", "left_semi")
-    return scale.running(req.select("subject_token", "claim_no", "detected_at"), ["subject_token"], F.to_date("detected_at"), [F.col("detected_at"), F.col("claim_no")], rank="n").select("subject_token", "claim_no", "n")
+    return scale.running(req.select("subject_token", "claim_no", "detected_at"), ["subject_token"], F.to_date("detected_at"), [F.col("detected_at"), F.col("claim_no")], rank="n", split=scale.BUCKET_ROWS).select("subject_token", "claim_no", "n")
 
 
 # ---- stop events ---------------------------------------------------------------------------------------

@@ -107,13 +107,17 @@ def r06(spark, d):
     return scored.select("level", "key", "bucket", "attempts", F.round("rate", 6).alias("rate"), F.round("z", 5).alias("z"))
 
 
-@query("r07_source_breaker")
+@query("r07_source_breaker", """with recursive e as (select source, epoch_us(at_ts) as t, succeeded, row_number() over (partition by source order by at_ts, event_id) as i from presentations),
+    st as (select distinct source, 0::bigint as i, 0::bigint as fails, -1::bigint as opened, false as trip, 0::bigint as t from e
+      union all select e.source, e.i, case when st.opened >= 0 and e.t - st.opened < 300000000 then fails when succeeded then 0 else fails + 1 end,
+        case when st.opened >= 0 and e.t - st.opened < 300000000 then opened when succeeded then -1 when fails + 1 >= 3 and opened < 0 then e.t else opened end,
+        not (st.opened >= 0 and e.t - st.opened < 300000000) and not succeeded and fails + 1 >= 3 and opened < 0, e.t
+      from st join e on e.source = st.source and e.i = st.i + 1)
+    select source, t as tripped_us from st where trip""")
 def r07(spark, d):
     """Trips per source with a low threshold, so that the data contains some."""
-    out, p = scratch_path(spark, "trips"), B.presentations(spark, d)
-    s = J.source_breaker(J.stream(spark, J.land_in_order(p, "landing-breaker", "at_ts", 8), p.schema, 1), threshold=3)
-    J.drain(s, J.append_to(out))
-    return J.read_back(spark, out, s.schema).select("source", "tripped_us")
+    p = B.presentations(spark, d)
+    return J.source_breaker(J.stream(spark, J.land_in_order(p, "landing-breaker", "at_ts", 8), p.schema, 4), scratch_path(spark, "trips"), threshold=3)
 
 
 @query("r08_promise_tracker", "select p.claim_no, coalesce(min(epoch_us(q.paid_at)), -1) as paid_us from promises p left join payments q on q.claim_no = p.claim_no and q.paid_at >= p.made_at and q.paid_at <= p.due_at + interval 36 hour group by 1")

@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dunlin.functions import times
-from dunlin.operators import diagnosis, ingest, scale
+from dunlin.operators import breaker, diagnosis, ingest, scale
 from dunlin.session import scratch_path
 from dunlin.streaming import keyed
 
@@ -133,31 +131,22 @@ def online_cells(presentations: DataFrame, out: str) -> Callable[[], DataFrame]:
     return lambda: diagnosis.baselines(spark.read.schema(cells).parquet(seen[-1]))
 
 
-def source_breaker(events: DataFrame, threshold: int = 20, cooldown_s: int = 300) -> DataFrame:
-    """Trips per source: so many consecutive failures open it, arrivals during the cool-down are not
-    counted, and the first success after it closes the breaker.
-
-    The state per source is two numbers.  The rows of one source in one micro-batch are handled in time
-    order by one task, so the trigger's file limit bounds that work.
-    """
-    def step(key, batches, state: GroupState):
-        fails, opened = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(batches)).sort_values(["at_us", "event_id"])
-        trips = []
-        for at, ok in zip(rows["at_us"].to_numpy(), rows["succeeded"].to_numpy()):
-            if opened >= 0 and at - opened < cooldown_s * 1000000:
-                continue
-            if ok:
-                fails, opened = 0, -1
-                continue
-            fails += 1
-            if fails >= threshold and opened < 0:
-                opened = int(at)
-                trips.append(int(at))
-        state.update((int(fails), int(opened)))
-        yield pd.DataFrame({"source": [key[0]] * len(trips), "tripped_us": trips})
-    x = events.select("source", "event_id", F.unix_micros("at_ts").alias("at_us"), "succeeded")
-    return x.groupBy("source").applyInPandasWithState(step, "source string, tripped_us long", "fails long, opened long", "append", GroupStateTimeout.NoTimeout)
+def source_breaker(events: DataFrame, out: str, threshold: int = 20, cooldown_s: int = 300, state: str | None = None) -> DataFrame:
+    """Trips per source, from events that arrive in time order: so many consecutive failures open a breaker, arrivals
+    during the cool-down are not counted, and the first success after it closes the breaker.
+
+    A source of any size is cut along time within each micro-batch (:mod:`dunlin.operators.breaker`).  What is carried
+    is one row for each source in `out`/state, one version for each batch: a batch that is run again reads the version
+    before it and writes its own anew, so a job that is killed goes on from its checkpoint with the same rows."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        carried = own.read.schema(breaker.STATE).parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
+        x = batch.select("source", "event_id", F.unix_micros("at_ts").alias("at_us"), "succeeded")
+        trips, after = breaker.breaker_trips(x, threshold, cooldown_s * 1_000_000, carried)
+        trips.write.mode("overwrite").parquet(f"{out}/trips/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+    drain(events, each, state=state)
+    return events.sparkSession.read.schema("source string, tripped_us long, batch int").parquet(f"{out}/trips").select("source", "tripped_us")
 
 
 def promise_tracker(promises: DataFrame, payments: DataFrame, grace_hours: int = 36, longest_days: int = 31) -> DataFrame:
