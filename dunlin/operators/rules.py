@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 from dunlin import dims
 from dunlin.functions import hashing, times
 from dunlin.operators import scale
+from dunlin.session import materialise
 from dunlin.sources import ruleset
 from dunlin.sources.ruleset import Rule
 
@@ -69,6 +70,71 @@ def recent_retries(retries: DataFrame, key: str, at: Column, rules: list[Rule] =
     return top.groupBy(key).agg(F.collect_list("at_ts").alias("retries"))
 
 
+def context_as_of(moments: DataFrame, contacts: DataFrame, retries: DataFrame, key: str, rules: list[Rule] = ruleset.RULES, split: int = scale.BUCKET_ROWS) -> DataFrame:
+    """row_id, contacts, retries: for each (key, at, row_id) what the rules can ask for at its own moment.
+
+    Events and moments stand in one order per key, cut along time.  Running counts number a key's events, and a moment
+    knows how many came before it, so its newest ones are an equi-join on (key, number); what lies further back, the last
+    contact that a cool-down asks for, comes with running maxima.  Events at the moment itself do not count.
+    """
+    keep, hours = contact_reach(rules)
+    tries, days = retry_reach(rules)
+    span = moments.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = F.lit(span["lo"]).cast("timestamp"), F.lit(span["hi"]).cast("timestamp")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    near = contacts.where((F.col("at_ts") >= times.add_seconds(lo, -hours * 3600)) & (F.col("at_ts") < hi))
+    tried = retries.where((F.col("at_ts") >= times.add_seconds(lo, -days * 86400)) & (F.col("at_ts") < hi))
+    touch = F.coalesce(F.col("channel").isin(*dims.CONTACT_CHANNELS), F.lit(False))
+    x = (moments.select(key, F.col("at").alias("at_ts"), F.lit(0).alias("kind"), "row_id", none("channel", "string"), none("outcome", "string"))
+         .unionByName(near.select(key, "at_ts", F.when(touch, 1).otherwise(2).alias("kind"), none("row_id", moments.schema["row_id"].dataType.simpleString()), "channel", "outcome"))
+         .unionByName(tried.select(key, "at_ts", F.lit(3).alias("kind"), none("row_id", moments.schema["row_id"].dataType.simpleString()), none("channel", "string"), none("outcome", "string"))))
+    cool = [r.params for r in rules if r.check == "channel_cooldown"]
+
+    def last(p: dict) -> Column:
+        hit = F.col("kind").isin(1, 2) & (F.col("channel") == p["channel"])
+        return F.when(hit & F.col("outcome").isin(*p["outcomes"]) if p.get("outcomes") else hit, F.col("at_ts"))
+    r = materialise(scale.running(x, [key], F.to_date("at_ts"), [F.col("at_ts"), F.col("kind")], split=split,
+                                  sums={"nc": F.when(F.col("kind") == 1, 1).otherwise(0).cast("long"), "nr": F.when(F.col("kind") == 3, 1).otherwise(0).cast("long")},
+                                  maxes={f"m{i}": last(p) for i, p in enumerate(cool)}), "as-of")
+    mine = r.where("kind = 0")
+
+    def newest(kind: int, n: str, k: int, value: Column, name: str) -> DataFrame:
+        asked = mine.where(F.col(n) > 0).select("row_id", key, F.explode(F.sequence(F.greatest(F.col(n) - (k - 1), F.lit(1)), F.col(n))).alias(n))
+        return asked.join(r.where(F.col("kind") == kind).select(key, n, value.alias("v")), [key, n]).groupBy("row_id").agg(F.collect_list("v").alias(name))
+    c = newest(1, "nc", keep, F.struct("at_ts", "channel", "outcome"), "touches")
+    t = newest(3, "nr", tries, F.col("at_ts"), "retries")
+    older = F.array(*[F.struct(F.col(f"m{i}").alias("at_ts"), F.lit(p["channel"]).alias("channel"), F.lit((p.get("outcomes") or [None])[0]).cast("string").alias("outcome"))
+                      for i, p in enumerate(cool)]) if cool else F.array().cast("array<struct<at_ts:timestamp,channel:string,outcome:string>>")
+    touches = F.coalesce("touches", F.array().cast("array<struct<at_ts:timestamp,channel:string,outcome:string>>"))
+    beyond = F.filter(older, lambda e: e["at_ts"].isNotNull() & (~e["channel"].isin(*dims.CONTACT_CHANNELS) | ((F.size(touches) >= keep) & (e["at_ts"] < F.array_min(touches["at_ts"])))))
+    return mine.join(c, "row_id", "left").join(t, "row_id", "left").select("row_id", F.concat(touches, beyond).alias("contacts"), F.coalesce("retries", F.array().cast("array<timestamp>")).alias("retries"))
+
+
+def wake(facts: DataFrame, due: DataFrame, contacts: DataFrame, retries: DataFrame, key: str, hop: int, rules: list[Rule] | None = None) -> DataFrame:
+    """claim_id, action, outcome, defer_until, hops of due actions (claim_id, action, due_at), judged on what holds when each is due."""
+    rows = facts.join(due, "claim_id").withColumn("row_id", F.concat_ws("|", "claim_id", "action"))
+    rows = rows.join(context_as_of(rows.select(key, F.col("due_at").alias("at"), "row_id"), contacts, retries, key, rules or ruleset.RULES), "row_id")
+    e = evaluate(rows.withColumnRenamed("action", "planned"), F.col("due_at"), rules=rules, keep=("claim_id", "planned", "state", "due_at")).filter(F.col("action") == F.col("planned"))
+    outcome = (F.when(F.col("state").isin(*dims.TERMINAL_STATES), "TERMINATED").when(F.col("decision") == "allow", "ENQUEUED")
+               .when((F.col("decision") == "defer") & F.col("defer_until").isNotNull(), "DEFER").otherwise("BLOCKED"))
+    return e.select("claim_id", "action", outcome.alias("outcome"), "defer_until", F.lit(hop).alias("hops"))
+
+
+def scheduled_actions(facts: DataFrame, due: DataFrame, contacts: DataFrame, retries: DataFrame, key: str, hops: int = 3, rules: list[Rule] | None = None) -> DataFrame:
+    """claim_id, action, outcome, requeued, hops: up to so many deferrals, each wake on its own context, then back to the allocator.
+
+    A blocked action stays BLOCKED, and one whose deferrals are used up is REQUEUED; both go back (requeued)."""
+    done = None
+    for hop in range(hops + 1):
+        x = materialise(wake(facts, due, contacts, retries, key, hop, rules), "wake")
+        over = x if hop == hops else x.filter(F.col("outcome") != "DEFER")
+        over = over.withColumn("outcome", F.when(F.col("outcome") == "DEFER", "REQUEUED").otherwise(F.col("outcome")))
+        over = over.select("claim_id", "action", "outcome", F.col("outcome").isin("BLOCKED", "REQUEUED").alias("requeued"), "hops")
+        done = over if done is None else done.unionByName(over)
+        due = x.filter(F.col("outcome") == "DEFER").select("claim_id", "action", F.col("defer_until").alias("due_at"))
+    return done
+
+
 def consent_map(consent: Column) -> Column:
     """Rail actions need no consent; an instalment offer is made on a call and inherits its answer."""
     rails = F.create_map(F.lit("silent"), F.lit("granted"), F.lit("none"), F.lit("granted"))

@@ -15,7 +15,7 @@ from dunlin.plans.q_functions import stale_families
 from dunlin.plans.q_ingest import _FOLD, classified
 from dunlin.plans.registry import query
 from dunlin.plans.sqlbridge import AT
-from dunlin.session import scratch_path, table
+from dunlin.session import scratch_path, staged, table
 from dunlin.sources import bridge as B
 from dunlin.streaming import jobs as J
 from dunlin.streaming import keyed
@@ -152,41 +152,43 @@ def r09(spark, d):
     return g.select("run_id", "h.name", "h.event_seq")
 
 
-def scheduled(spark, d) -> DataFrame:
-    o = B.outbox(spark, d).select("claim_id", "action")
-    return Q.context(spark, d).join(o, "claim_id").withColumn("due_at", B.at_lit())
+def due_now(spark, d) -> DataFrame:
+    return B.outbox(spark, d).select("claim_id", "action", B.at_lit().alias("due_at"))
 
 
-def gate_step(rows: DataFrame, hop: int) -> DataFrame:
-    """Wake, re-evaluate at the due moment, and say what happens next."""
-    e = R.evaluate(rows.withColumnRenamed("action", "planned"), F.col("due_at"), keep=("claim_id", "planned", "state", "due_at")).filter(F.col("action") == F.col("planned"))
-    out = (F.when(F.col("state").isin(*dims.TERMINAL_STATES), "TERMINATED").when(F.col("decision") == "allow", "ENQUEUED")
-           .when((F.col("decision") == "defer") & F.col("defer_until").isNotNull(), "DEFER").otherwise("BLOCKED"))
-    return e.select("claim_id", "action", out.alias("outcome"), "defer_until", F.lit(hop).alias("hops"))
+def first_wake(spark, d) -> DataFrame:
+    return staged(spark, d, "first-wake", lambda: R.wake(B.gate_facts(spark, d), due_now(spark, d), B.contacts(spark, d), B.retries(spark, d), "cust", 0))
 
 
 @query("r10_scheduled_step", f"with {Q.GATE} select g.claim_id, case when full_rank = 0 then 'ENQUEUED' when full_rank = 1 then 'DEFER' else 'BLOCKED' end as outcome, coalesce(case when full_rank = 1 then epoch_us(wait) end, -1) as next_us from gdec g join outbox o on o.claim_id = g.claim_id and o.action = g.action")
 def r10s(spark, d):
-    x = gate_step(scheduled(spark, d), 0)
-    return x.select("claim_id", "outcome", F.coalesce(F.unix_micros("defer_until"), F.lit(-1)).alias("next_us"))
-
-
-@query("r10_scheduled_action")
+    return first_wake(spark, d).select("claim_id", "outcome", F.coalesce(F.unix_micros("defer_until"), F.lit(-1)).alias("next_us"))
+
+
+def _hop_sql(h: int) -> str:
+    """CTEs of one wake: the due rows, the facts as of each one's own moment, and the gate's answer."""
+    source = (f"select o.claim_id, o.action, o.cust, {AT} as m from outbox o" if h == 0 else
+              f"select g.claim_id, g.action, p.cust, g.wait as m from gdec_h{h - 1} g join hop{h - 1} p on p.claim_id = g.claim_id and p.action = g.action where g.full_rank = 1 and g.wait is not null")
+    return f"""hop{h} as ({source}),
+    cstat_h{h} as (select claim_id, max(t) filter (where rk = 1 and t >= m - interval 24 hour) as c24, max(t) filter (where rk = 3 and t >= m - interval 168 hour) as c168, max(t) filter (where rk = 8 and t >= m - interval 720 hour) as c720,
+        max(t) as last_any, max(t) filter (where channel = 'voice') as last_voice, max(t) filter (where channel = 'voice' and outcome in ('connected', 'replied')) as last_voice_conn,
+        max(t) filter (where channel = 'whatsapp') as last_whatsapp, max(t) filter (where channel = 'sms') as last_sms, max(t) filter (where channel = 'email') as last_email
+      from (select h.claim_id, c.at_ts as t, channel, outcome, h.m, row_number() over (partition by h.claim_id order by c.at_ts desc) as rk from contacts c join hop{h} h on h.cust = c.cust where c.at_ts < h.m) group by 1),
+    rstat_h{h} as (select claim_id, max(t) filter (where rk = 15) as r30, max(t) filter (where rk = 1 and t >= m - interval 1 day) as r1
+      from (select h.claim_id, r.at_ts as t, h.m, row_number() over (partition by h.claim_id order by r.at_ts desc) as rk from retries r join hop{h} h on h.cust = r.cust where r.at_ts < h.m and r.at_ts >= h.m - interval 30 day) group by 1),
+    gctx_h{h} as (select g.*, s.* exclude (cust, subject_token), k.* exclude (claim_id), t.* exclude (claim_id), h.m,
+        timezone(s.tz_zone, h.m at time zone 'UTC') as loc, hour(timezone(s.tz_zone, h.m at time zone 'UTC')) * 60 + minute(timezone(s.tz_zone, h.m at time zone 'UTC')) as mi
+      from gate_claims g join subjects s using (cust) join hop{h} h on h.claim_id = g.claim_id left join cstat_h{h} k on k.claim_id = g.claim_id left join rstat_h{h} t on t.claim_id = g.claim_id),
+    {Q.gate_sql(f'_h{h}')},
+    out_h{h} as (select g.claim_id, g.action, case when g.full_rank = 0 then 'ENQUEUED' when g.full_rank = 1 and g.wait is not null then '{"REQUEUED" if h == 3 else "DEFER"}' else 'BLOCKED' end as outcome, {h} as hops
+      from gdec_h{h} g join hop{h} p on p.claim_id = g.claim_id and p.action = g.action)"""
+
+
+@query("r10_scheduled_action", "with " + ", ".join(_hop_sql(h) for h in range(4)) +
+       " select claim_id, action, outcome, outcome in ('BLOCKED', 'REQUEUED') as requeued, hops from (" + " union all ".join(f"select * from out_h{h}" for h in range(4)) + ") where outcome <> 'DEFER'")
 def r10(spark, d):
-    """Up to three deferrals, then back to the allocator; one row per scheduled action.
-
-    A blocked action stays BLOCKED, and one whose deferrals are used up is REQUEUED; both go back (requeued)."""
-    from dunlin.session import materialise
-    base, done = scheduled(spark, d), None
-    rows = base
-    for hop in range(4):
-        x = materialise(gate_step(rows, hop), "hop")
-        fin = x.filter(F.col("outcome") != "DEFER") if hop < 3 else x.withColumn("outcome", F.when(F.col("outcome") == "DEFER", "REQUEUED").otherwise(F.col("outcome")))
-        fin = fin.select("claim_id", "action", "outcome", F.col("outcome").isin("BLOCKED", "REQUEUED").alias("requeued"), "hops")
-        done = fin if done is None else done.unionByName(fin)
-        wait = x.filter(F.col("outcome") == "DEFER").select("claim_id", F.col("defer_until").alias("_due"))
-        rows = base.join(wait, "claim_id").withColumn("due_at", F.col("_due")).drop("_due")
-    return done
+    """Every scheduled action to its end, each wake judged on the contacts and retries before its own moment."""
+    return R.scheduled_actions(B.gate_facts(spark, d), due_now(spark, d), B.contacts(spark, d), B.retries(spark, d), "cust")
 
 
 @query("r12_freshness", same_as="d09_stale_families")

@@ -337,6 +337,13 @@ def gate_claims(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("decline_category", F.coalesce("_dc", F.lit("soft"))).drop("_dc")
 
 
+def gate_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What a rule asks about a claim and its subject whatever the moment."""
+    from dunlin.operators import rules
+    s = subjects(spark, d).withColumn("consent", rules.consent_map(F.col("consent"))).drop("subject_token")
+    return gate_claims(spark, d).join(s, "cust")
+
+
 def gate_context(spark: SparkSession, d: str) -> DataFrame:
     """One wide row per claim: subject facts plus bounded arrays of recent contacts and retries.
 
