@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from dunlin import dims
 from dunlin.functions import hashing, times
-from dunlin.operators import scale
+from dunlin.operators import intervals, scale
 from dunlin.session import materialise
 from dunlin.sources import ruleset
 from dunlin.sources.ruleset import Rule
@@ -343,44 +343,37 @@ def certify(ctx: DataFrame, at: Column, rules: list[Rule] | None = None, keep: S
 def windows(ctx: DataFrame, at: Column, rules: list[Rule] | None = None, keep: Sequence[str] = ("claim_id", "subject_token")) -> DataFrame:
     """Validity window per (claim, action): a quarter hour each way, walked back to where it still allows.
 
-    The reference search halves the quarter hour until under a minute, so it only ever looks at
-    multiples of a sixteenth.  All thirty-three moments are evaluated in one row by ``transform``, and
-    the four halving steps are replayed on the resulting booleans: no explode and no shuffle.
+    The search halves the quarter hour until under a minute, so it only ever looks at multiples of a sixteenth.  Moving
+    rules give their forbidden intervals as bits of these 33 moments (:mod:`dunlin.operators.intervals`), and the
+    halving steps test bits; an action that is not allowed at the moment itself keeps the whole quarter hours.
     """
     use = [r for r in ruleset.load(rules)]
     named = _distinct(ruleset.ALL_CLASSES, rules)
 
     def bad(n: str, moment: Column) -> Column:
         r, ch = named[n]
-        return F.coalesce(_in_force(r, moment, check(r, moment, ch)[0]), F.lit(True)).alias(n)
-    moments = F.transform(F.sequence(F.lit(-SLOTS), F.lit(SLOTS)), lambda i: times.add_seconds(at, i * SLOT_SECONDS))
-    steady = [n for n, (r, _) in named.items() if r.check not in MOVING]
-    moving = [n for n in named if n not in steady]
-    staged = ctx.select("*", *[bad(n, at).alias(f"s{n}") for n in steady])
-    staged = staged.select(*keep, *[f"s{n}" for n in steady], F.transform(moments, lambda m: F.struct(*[bad(n, m) for n in moving])).alias("_p"))
-
-    def any_of(cols: list[Column]) -> Column:
-        out = cols[0]
-        for c in cols[1:]:
-            out = out | c
+        return F.coalesce(_in_force(r, moment, check(r, moment, ch)[0]), F.lit(True))
+    moving = [n for n, (r, _) in named.items() if r.check in MOVING]
+    masks = [(intervals.forbidden(named[n][0], at, lambda m, n=n: bad(n, m)) if n in moving else F.when(bad(n, at), intervals.ALL).otherwise(intervals.NONE).cast("long")).alias(f"s{n}") for n in named]
+    staged = ctx.select(*keep, *masks)
+
+    def closed(a: str) -> Column:
+        out = F.lit(0).cast("long")
+        for n in sorted({_name(r, a) for r in use if r.applies(a)}):
+            out = out.bitwiseOR(F.col(f"s{n}"))
         return out
+    rows = staged.select(*keep, F.inline(F.array(*[F.struct(F.lit(a).alias("action"), closed(a).alias("_bad")) for a in dims.ACTION_NAMES])))
 
-    def allows(a: str) -> Column:
-        mine = {_name(r, a) for r in use if r.applies(a)}
-        fixed, live = [F.col(f"s{n}") for n in steady if n in mine], [n for n in moving if n in mine]
-        if not mine:
-            return F.transform("_p", lambda x: F.lit(True))
-        never = F.transform("_p", lambda x: F.lit(False))
-        return F.when(any_of(fixed), never).otherwise(F.transform("_p", lambda x: ~any_of([x[n] for n in live])))
-    rows = staged.select(*keep, F.inline(F.array(*[F.struct(F.lit(a).alias("action"), allows(a).alias("_ok")) for a in dims.ACTION_NAMES])))
+    def free(offset: Column) -> Column:
+        return F.call_function("shiftright", F.col("_bad"), (offset + SLOTS).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0
 
     def walk(df: DataFrame, sign: int, name: str) -> DataFrame:
         df = df.withColumn(name, F.lit(0))
         for step in (8, 4, 2, 1):
-            df = df.withColumn(name, F.when(F.get("_ok", F.lit(SLOTS) + sign * (F.col(name) + step)), F.col(name) + step).otherwise(F.col(name)))
-        return df.withColumn(name, F.when(F.get("_ok", F.lit(SLOTS + sign * SLOTS)), F.lit(SLOTS)).otherwise(F.col(name)))
+            df = df.withColumn(name, F.when(free(sign * (F.col(name) + step)), F.col(name) + step).otherwise(F.col(name)))
+        return df.withColumn(name, F.when(free(F.lit(sign * SLOTS)), F.lit(SLOTS)).otherwise(F.col(name)))
     rows = walk(walk(rows, -1, "_back"), 1, "_fwd")
-    allowed = F.get("_ok", F.lit(SLOTS))
+    allowed = free(F.lit(0))
     end = times.add_seconds(at, F.col("_fwd") * SLOT_SECONDS)
     return rows.select(
         *keep, "action",
