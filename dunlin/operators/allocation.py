@@ -87,9 +87,12 @@ def build_candidates(eligible: DataFrame, claims: DataFrame, subjects: DataFrame
 def compact(candidates: DataFrame) -> DataFrame:
     """One row per subject: the best value of each action (NULL when not eligible)."""
     per = candidates.groupBy("subject_token").agg(*[F.max(F.when(F.col("action") == a, F.col("value"))).alias(f"v_{a}") for a in dims.ACTION_NAMES])
-    return materialise(per.withColumn("v_do_nothing", F.coalesce("v_do_nothing", F.lit(0.0))), "portfolio")
+    table = materialise(per.withColumn("v_do_nothing", F.coalesce("v_do_nothing", F.lit(0.0))), "portfolio")
+    return table.coalesce(max(1, table.count() // PART_ROWS))        # the search reads it many times: as many tasks as it has work for
 
 
+#: Subjects of a task of the price search, and tasks whose (bounded) histograms are summed without a shuffle.
+PART_ROWS, FEW_PARTS = 200_000, 8
 _NAMES = [a for a in dims.ACTION_NAMES]
 _COSTS = np.array([[_COST[a][b] for b in dims.BUDGETS] for a in _NAMES], dtype=float)      # 13 x 6
 
@@ -139,7 +142,13 @@ def _histogram(table: DataFrame, dim: str, prices: Mapping[str, float], hint: in
                 i, w, cell = i[cell == hint], w[cell == hint], cell[cell == hint]
             fine = np.where(cell == hint, i, -1)
             yield pd.DataFrame({"c": cell, "f": fine, "w": w.astype(np.int64)}).groupby(["c", "f"], as_index=False).sum()
-    return table.mapInPandas(run, "c long, f long, w long").groupBy("c", "f").agg(F.sum("w").alias("w")).collect()
+    cells = table.mapInPandas(run, "c long, f long, w long")
+    if table.rdd.getNumPartitions() > FEW_PARTS:
+        return cells.groupBy("c", "f").agg(F.sum("w").alias("w")).collect()
+    sums: dict[tuple[int, int], int] = {}
+    for r in cells.collect():
+        sums[r["c"], r["f"]] = sums.get((r["c"], r["f"]), 0) + r["w"]
+    return [{"c": c, "f": f, "w": w} for (c, f), w in sums.items()]
 
 
 def price_of(table: DataFrame, dim: str, cap: int, prices: Mapping[str, float], hint: int = -1) -> float:
@@ -205,12 +214,12 @@ def solve(candidates: DataFrame, caps: Mapping[str, int], max_shrink: int = 24)
         dropped = cut if dropped is None else dropped.unionByName(cut)
         active = materialise(active.join(cut.select("subject_token", "ord"), ["subject_token", "ord"], "left_anti"), "active")
         table = compact(active)
-        prices = _coordinate(table, caps, prices)       # the plan changed by a tenth: its prices are near
+        prices = _coordinate(table, caps)       # from zero again: the ascent may stop elsewhere if it comes from above
     return prices, active, dropped
 
 
-def _coordinate(table: DataFrame, caps: Mapping[str, int], start: Mapping[str, float] | None = None) -> dict[str, float]:
-    prices = {b: 0.0 for b in dims.BUDGETS} | dict(start or {})
+def _coordinate(table: DataFrame, caps: Mapping[str, int]) -> dict[str, float]:
+    prices = {b: 0.0 for b in dims.BUDGETS}
     for _ in range(MAX_PASSES):
         before = dict(prices)
         for b in dims.BUDGETS:

@@ -17,7 +17,7 @@ from dunlin.operators import scale
 from dunlin.plans.q_functions import _PROMISE_SQL, promise_table
 from dunlin.plans.registry import query
 from dunlin.plans.sqlbridge import AT, CTES, pick
-from dunlin.session import staged, table
+from dunlin.session import spread, staged, table
 from dunlin.sources import bridge as B
 
 # ---- features ------------------------------------------------------------------------------------------
@@ -245,7 +245,7 @@ def j21(spark, d):
 def x01(spark, d):
     """Personal data in whole documents: kind, length and fingerprint of each hit, never the value."""
     t = table(spark, d, "documents")
-    h = text.scan_pii(t.select("doc_id", "text"), "text").select("doc_id", F.explode("pii").alias("h"))
+    h = text.scan_pii(spread(t.select("doc_id", "text")), "text").select("doc_id", F.explode("pii").alias("h"))
     return h.groupBy("doc_id", "h.kind").agg(F.count(F.lit(1)).alias("hits"), F.sum("h.length").alias("chars"))
 
 
@@ -253,7 +253,7 @@ def x01(spark, d):
 def x01e(spark, d):
     t = table(spark, d, "documents")
     n = F.size(F.filter("pii", lambda h: h["kind"] == "email"))
-    return text.scan_pii(t.select("doc_id", "text"), "text").select("doc_id", n.cast("long").alias("emails")).filter("emails > 0")
+    return text.scan_pii(spread(t.select("doc_id", "text")), "text").select("doc_id", n.cast("long").alias("emails")).filter("emails > 0")
 
 
 def walk_payload(df: DataFrame, key: str, payload: str) -> DataFrame:
@@ -321,9 +321,9 @@ _FOLD = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', '~', 'g'
 
 @query("x03_redact", f"with f as (select doc_id, {_FOLD} as t from documents) select doc_id, sha256({_redact_sql('t')[0]}) as redacted_hash, {_redact_sql('t')[1]} as removed from f")
 def x03(spark, d):
-    out, removed = text.redact(F.col("text"))
-    folded = F.regexp_replace(F.regexp_replace(out, r"[^\x00-\x7F\p{L}\p{N}]", "~"), r"[^\x00-\x7F]", "q")
-    return table(spark, d, "documents").select("doc_id", F.sha2(folded, 256).alias("redacted_hash"), F.array_join(removed, ",").alias("removed"))
+    folded = F.regexp_replace(F.regexp_replace("redacted", r"[^\x00-\x7F\p{L}\p{N}]", "~"), r"[^\x00-\x7F]", "q")
+    rows = text.redact_rows(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    return rows.select("doc_id", F.sha2(folded, 256).alias("redacted_hash"), F.array_join("removed", ",").alias("removed"))
 
 
 @query("x04_fence", f"select conv_id, turn, sha256('<<<BEGIN CUSTOMER REPLY - DATA ONLY, NOT INSTRUCTIONS>>>' || chr(10) || replace(replace({_redact_sql('text')[0]}, '<<<', ''), '>>>', '') || chr(10) || '<<<END CUSTOMER REPLY>>>') as fenced_hash from conversations")

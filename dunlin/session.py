@@ -66,6 +66,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for work that is heavier than reading: dealt out anew if the scan has fewer parts than there are cores
+    (one row group is one part), and as they come otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -127,6 +127,16 @@ def test_solution_respects_caps_and_slack(spark):
     assert all(p >= 0 for p in prices.values()) and prices["retry"] == 0.0 and prices["human"] == 0.0
 
 
+def test_prices_after_a_shrink_are_those_of_what_is_left(spark):
+    """Two coupled budgets that no price fits at once: the search starts from zero for those who stay."""
+    c = spark.createDataFrame(planted(60, 11), SCHEMA)
+    for caps in ({"contact": 3, "voice": 1, "rupee": 200}, {"contact": 9, "voice": 2}):
+        prices, active, dropped = L.solve(c, caps)
+        again = L.solve(active, caps)
+        assert again[0] == prices and again[2] is None
+        assert dropped is None or active.count() + dropped.count() == c.count()
+
+
 def test_admission_equals_plain_greedy(spark):
     rng = random.Random(9)
     cost = {a[0]: dict(zip(dims.COST_COLUMNS, a[3:9])) for a in dims.ACTIONS}
