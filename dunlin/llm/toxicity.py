@@ -145,14 +145,17 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is below the threshold, with all their columns; nothing is shuffled."""
+    """The rows whose score is below the threshold, with all their columns; nothing is shuffled.
+
+    Only texts go to Python and only scores come back; the rows themselves stay in the JVM."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def clean(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                yield piece.filter(pa.array(model.value.score(*terms(piece.column("text"))) < threshold))
-    return docs.mapInArrow(clean, docs.schema)
+    @F.arrow_udf("double")
+    def scores(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        parts = [model.value.score(*terms(piece.column("text"))) for piece in pieces(batch, "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+    return docs.where(scores(F.col("text").cast("string")) < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
