@@ -74,7 +74,10 @@ class Machine:
             self.live = np.zeros(1 << BITS, bool)
             return self
         rng = np.random.default_rng(seed)
-        self.live = np.bincount(np.concatenate(texts), minlength=1 << BITS) >= SEEN
+        seen = np.zeros(1 << BITS, np.int64)
+        for x in texts:
+            seen[x] += 1                   # terms of a text are distinct
+        self.live = seen >= SEEN
         texts = [x[self.live[x]] for x in texts]
         self.v[self.live] = rng.normal(0, 0.01, (int(self.live.sum()), FACTORS))
         gw, gv, gb = np.full(1 << BITS, 1e-4), np.full((1 << BITS, FACTORS), 1e-2), 1e-4
@@ -129,7 +132,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
                                                   "terms": pa.array([raw[4 * a:4 * b] for a, b in zip(first, first[1:])], pa.binary())})
     rows = labelled_sample(docs, labels, bound).mapInArrow(extract, "doc_id long, label long, terms binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return Machine().fit([np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float))
+    texts, labels_ = [np.frombuffer(r["terms"], "<u4") for r in rows], np.array([r["label"] for r in rows], float)      # views: nothing is copied
+    del rows
+    return Machine().fit(texts, labels_)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
