@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
 Every job reads a file stream, keeps its state in the state store or in a small versioned table, writes
-through ``foreachBatch`` or a file sink with its own checkpoint folder, and can be restarted after the
-loss of any executor.  ``availableNow`` drains what is there; a service would use a processing-time
-trigger with the same code.
+through ``foreachBatch`` or a file sink with its own checkpoint folder, and survives the loss of any executor.  A job
+that is given its checkpoint folder again goes on where it stopped (``drain``).  ``availableNow`` drains what is there;
+a service would use a processing-time trigger with the same code.
 """
 
 from __future__ import annotations
@@ -151,8 +151,11 @@ def source_breaker(events: DataFrame, out: str, threshold: int = 20, cooldown_s:
 
 def promise_tracker(promises: DataFrame, payments: DataFrame, grace_hours: int = 36, longest_days: int = 31) -> DataFrame:
     """Payments by each promise's own deadline; a promise without one comes out with NULL once the watermark
-    passes it.  ``longest_days`` is the longest term of a promise: it bounds the state that the join keeps."""
-    p = promises.withWatermark("made_at", "1 day").withColumn("deadline", F.col("due_at") + F.expr(f"interval {grace_hours} hours"))
+    passes it.  ``longest_days`` is the longest term of a promise: it bounds the state that the join keeps, and a promise
+    with a longer term stops the stream, for a payment within its own deadline would be lost in silence."""
+    deadline = F.col("due_at") + F.expr(f"interval {grace_hours} hours")
+    longer = F.raise_error(F.concat(F.lit(f"a promise runs longer than {longest_days} days: claim "), F.col("claim_no").cast("string"))).cast("timestamp")
+    p = promises.withWatermark("made_at", "1 day").withColumn("deadline", F.when(deadline > F.col("made_at") + F.expr(f"interval {longest_days} days"), longer).otherwise(deadline))
     q = payments.withColumnRenamed("claim_no", "paid_claim").withWatermark("paid_at", "1 day")
     cond = F.expr("claim_no = paid_claim and paid_at >= made_at and paid_at <= due_at + interval {0} hours and paid_at <= made_at + interval {1} days".format(grace_hours, longest_days))
     return p.join(q, cond, "leftOuter").select("claim_no", "made_at", "deadline", "paid_at")
