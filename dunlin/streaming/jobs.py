@@ -113,22 +113,30 @@ def decline_windows(presentations: DataFrame) -> DataFrame:
     return x.groupBy(F.window("at_ts", "1 day"), "level", "key", "bucket").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(~F.col("succeeded")).alias("declines"))
 
 
-def online_cells(presentations: DataFrame, out: str) -> Callable[[], DataFrame]:
-    """Keep the cell table up to date per micro-batch; baselines are recomputed from the bucket list."""
+CELLS = "lvl_no int, level string, key string, bucket long, attempts long, declines long"
+
+
+def online_cells(presentations: DataFrame, out: str, state: str | None = None) -> Callable[[], DataFrame]:
+    """Keep the cell table up to date per micro-batch; baselines are recomputed from the bucket list.
+
+    Each batch adds its cells to the version of the batch before and writes its own, named by its number: a batch that
+    is run again writes the same rows anew, and a restarted job (with the same `out` and `state`) goes on from the last
+    version."""
     spark = presentations.sparkSession
-    seen: list[str] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
         new = diagnosis.cohort_cells(batch)
-        if seen:
-            old = spark.read.schema(new.schema).parquet(seen[-1])
+        if batch_id:
+            old = batch.sparkSession.read.schema(CELLS).parquet(f"{out}/cells/batch={batch_id - 1}")
             new = old.unionByName(new).groupBy("lvl_no", "level", "key", "bucket").agg(F.sum("attempts").alias("attempts"), F.sum("declines").alias("declines"))
-        path = f"{out}/cells-{batch_id}"
-        new.write.mode("overwrite").parquet(path)
-        seen.append(path)
-    drain(presentations, each)
-    cells = "lvl_no int, level string, key string, bucket long, attempts long, declines long"
-    return lambda: diagnosis.baselines(spark.read.schema(cells).parquet(seen[-1]))
+        new.write.mode("overwrite").parquet(f"{out}/cells/batch={batch_id}")
+    drain(presentations, each, state=state)
+
+    def scored() -> DataFrame:
+        every = spark.read.schema(CELLS + ", batch int").parquet(f"{out}/cells")
+        newest = every.agg(F.max("batch")).first()[0]
+        return diagnosis.baselines(every.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch"))
+    return scored
 
 
 def source_breaker(events: DataFrame, out: str, threshold: int = 20, cooldown_s: int = 300, state: str | None = None) -> DataFrame:

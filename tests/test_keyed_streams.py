@@ -88,3 +88,19 @@ def test_freshness_forgets_users_whose_families_are_all_stale(spark):
         if files > 1:
             store = spark.read.format("statestore").option("path", state).option("stateVarName", "fold").load()
             assert 99 not in {r[0] for r in store.select("key.user_id").collect()}
+
+
+def test_cells_of_a_restarted_stream(spark):
+    from dunlin.operators import diagnosis
+    rng = random.Random(2)
+    rows = [(k, f"ISS_{rng.randint(0, 2)}", rng.choice(["card", "upi"]), T0 + dt.timedelta(minutes=rng.randint(0, 3000)), rng.random() < 0.7) for k in range(500)]
+    df = spark.createDataFrame(rows, "event_id long, issuer_ref string, rail string, at_ts timestamp, succeeded boolean")
+    folder, state, out = scratch_path(spark, "in"), scratch_path(spark, "state"), scratch_path(spark, "out")
+    scored = None
+    for part in (df.where("event_id < 200"), df.where("event_id >= 200")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        scored = J.online_cells(J.stream(spark, folder, df.schema, 1), out, state)
+    again = J.online_cells(J.stream(spark, folder, df.schema, 1), out, state)      # nothing new: the last version stands
+    want = sorted(map(str, diagnosis.baselines(diagnosis.cohort_cells(df)).select("level", "key", "bucket", "attempts", "declines").collect()))
+    for got in (scored, again):
+        assert sorted(map(str, got().select("level", "key", "bucket", "attempts", "declines").collect())) == want
