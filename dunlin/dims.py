@@ -165,6 +165,18 @@ GUARDRAIL_KEYS = ["complaint_rate_per_1000", "opt_out_rate_per_1000", "voluntary
                   "promise_kept_rate", "right_party_contact_rate"]
 
 # ---- fixed values: text ------------------------------------------------------------------------
+#: What a customer's turn may mean, in order of precedence on equal scores: (intent, phrase, weight).  Words are a-z and
+#: apostrophes; a phrase after a negator, with two words between at most, does not count.
+INTENT_PHRASES = [
+    ("hardship", "lost my job", 3), ("hardship", "can't afford", 3), ("hardship", "cannot afford", 3), ("hardship", "in hospital", 2), ("hardship", "no money", 2), ("hardship", "medical emergency", 3),
+    ("wrong_party", "wrong number", 3), ("wrong_party", "wrong person", 3), ("wrong_party", "not my loan", 3), ("wrong_party", "don't know this person", 3),
+    ("request_human", "speak to a human", 3), ("request_human", "talk to a person", 3), ("request_human", "real person", 2), ("request_human", "your manager", 2), ("request_human", "call me back", 1),
+    ("dispute", "never took this loan", 3), ("dispute", "this is fraud", 3), ("dispute", "not authorised", 3), ("dispute", "wrong amount", 2), ("dispute", "charged twice", 3),
+    ("already_paid", "already paid", 3), ("already_paid", "paid it yesterday", 3),
+    ("promise_to_pay", "will pay", 2), ("promise_to_pay", "pay tomorrow", 2), ("promise_to_pay", "pay on friday", 2),
+    ("refuse", "won't pay", 3), ("refuse", "stop calling", 3), ("refuse", "leave me alone", 3),
+]
+NEGATORS = ["not", "never", "isn't", "wasn't", "aren't", "didn't", "haven't"]
 STOP_INTENTS = ["hardship", "wrong_party", "request_human", "dispute"]
 UNSAFE_PHRASES = [
     r"\blegal action\b", r"\bcourt\b", r"\barrest\b", r"\bpolice\b", r"\bcriminal\b", r"\bblacklist",

@@ -172,6 +172,32 @@ def validate_message(text: Column, template: Column, facts: Column) -> Column:
             .otherwise("accepted"))
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text, lower case, one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z']+", " "))
+
+
+def turn_intent(text: Column) -> Column:
+    """struct<intent, confidence> of a turn from its own words: weighted phrases outside the scope of a negation.
+
+    The confidence is s / (s + 1) of the highest score s, so a single strong phrase reaches 0.75; without any phrase the
+    intent is unclear and the confidence 0."""
+    def body(words: Column) -> Column:
+        def hits(phrase: str) -> Column:
+            denied = rf"\b(?:{'|'.join(dims.NEGATORS)}) (?:[a-z']+ ){{0,2}}{phrase}\b"
+            return F.when(F.contains(words, F.lit(phrase)), F.greatest(F.size(_hits(words, rf"\b{phrase}\b")) - F.size(_hits(words, denied)), F.lit(0))).otherwise(0)
+        intents = list(dict.fromkeys(i for i, _, _ in dims.INTENT_PHRASES))
+        scores = [sum((hits(p) * w for i, p, w in dims.INTENT_PHRASES if i == intent), F.lit(0)) for intent in intents]
+        return F.array(*scores)
+    scored = bind(plain_words(text), body)
+
+    def choose(s: Column) -> Column:
+        best = F.array_max(s)
+        names = F.array(*[F.lit(i) for i in dict.fromkeys(i for i, _, _ in dims.INTENT_PHRASES)])
+        return F.struct(F.when(best > 0, F.get(names, (F.array_position(s, best) - 1).cast("int"))).otherwise("unclear").alias("intent"), (best / (best + 1)).alias("confidence"))
+    return bind(scored, choose)
+
+
 def canned_message(merchant: Column, amount: Column, plan: Column, due: Column) -> Column:
     return F.concat(merchant, F.lit(": your payment of "), amount, F.lit(" for "), plan, F.lit(" was due on "), due,
                     F.lit(" and has not gone through. Reply STOP to opt out."))

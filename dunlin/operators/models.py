@@ -31,7 +31,7 @@ def split_by_account(rows: DataFrame, holdout: float, seed: int, key: str = "acc
 def require_propensity(rows: DataFrame, column: str = "propensity") -> DataFrame:
     """Refuse a log with a missing or impossible propensity (checked row by row while it runs)."""
     ok = F.coalesce((F.col(column) > 0) & (F.col(column) <= 1) & ~F.isnan(column), F.lit(False))
-    return rows.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.lit("a row lacks a usable logged propensity")).cast("double")))
+    return rows.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.lit("propensity must be a number above 0 and not above 1")).cast("double")))
 
 
 def with_missing(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
@@ -82,7 +82,7 @@ class XLearner:
         means = {r["action"]: (r["n"], r["m"]) for r in data.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")).collect()}   # a row per action
         n0, m0 = means.get(CONTROL, (0, 0.0))
         if n0 < MIN_ARM:
-            raise ValueError("without a control arm there is no counterfactual")
+            raise ValueError(f"the control arm has fewer than {MIN_ARM} rows")
         control = data.filter(F.col("action") == CONTROL)
         mu0 = self._fit(control, "y")
         for a in actions:

@@ -46,8 +46,9 @@ def ready(outbox: DataFrame, at: Column, limit: int) -> DataFrame:
 
 
 def dispatch_outcome(at: Column, handled: list[str], channel: Column, failing: Column, permanent: Column, max_attempts: int = 6) -> Column:
-    """What happens to a due row: a closed certificate outranks everything, then a finished claim,
-    a channel without handler, a permanent refusal and the retry limit."""
+    """Outcome of a row at its turn, one of five words.
+
+    The tests run from what makes sending unlawful, over what makes it pointless or impossible, to what may pass with time."""
     covers = at.between(F.col("cert_valid_from"), F.col("cert_valid_until"))
     return (F.when(~covers, "cert_expired").when(F.col("state").isin(*dims.ABSORBING_STATES), "terminal_state").when(~channel.isin(*handled), "dead")
             .when(permanent, "dead").when(failing & (F.col("attempts") >= max_attempts), "dead").when(failing, "rescheduled").otherwise("sent"))

@@ -377,13 +377,33 @@ def x08(spark, d):
     return line.groupBy("rule_no").agg(F.count_if(bad).alias("overstated"))
 
 
-_INTENTS = ["promise_to_pay", "dispute", "hardship", "wrong_party", "request_human", "already_paid", "refuse", "unclear"]
 
 
-@query("x10_stop_intent", f"""with t as (select conv_id, turn, {pick(_INTENTS, '(conv_id + turn * 3) % 8')} as intent, ((conv_id * 7 + turn * 13) % 100) / 100.0 as conf, role from conversations)
-      select conv_id, coalesce(arg_min(intent, turn) filter (where intent in ('hardship', 'wrong_party', 'request_human', 'dispute')), '') as stop_intent, coalesce(min(turn) filter (where intent in ('hardship', 'wrong_party', 'request_human', 'dispute')), -1) as stop_turn, count(*) filter (where conf >= 0.75) as actionable from t group by 1""")
+def _intent_sql() -> str:
+    """One row per turn: words, the score of each intent, and the choice among them."""
+    intents = list(dict.fromkeys(i for i, _, _ in dims.INTENT_PHRASES))
+
+    def hits(phrase: str) -> str:
+        p = phrase.replace("'", "''")
+        deny = "|".join(dims.NEGATORS).replace("'", "''")
+        return (f"greatest(len(regexp_extract_all(w, '\\b{p}\\b')) - len(regexp_extract_all(w, '\\b(?:{deny}) (?:[a-z'']+ ){{0,2}}{p}\\b')), 0)")
+    scores = ", ".join("(" + " + ".join(f"{x} * {hits(p)}" for i, p, x in dims.INTENT_PHRASES if i == intent) + f") as s_{intent}" for intent in intents)
+    best = f"greatest({', '.join('s_' + i for i in intents)})"
+    choice = "case when best = 0 then 'unclear' " + " ".join(f"when s_{i} = best then '{i}'" for i in intents) + " end"
+    return f"""w as (select conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z'']+', ' ', 'g')) as w from conversations where role = 'user'),
+      s as (select conv_id, turn, {scores} from w), b as (select *, {best} as best from s), t as (select conv_id, turn, {choice} as intent, best / (best + 1.0) as conf from b)"""
+
+
+@query("x10_stop_intent", f"""with {_intent_sql()} select c.conv_id, coalesce(arg_min(intent, t.turn) filter (where intent in ('hardship', 'wrong_party', 'request_human', 'dispute')), '') as stop_intent,
+      coalesce(min(t.turn) filter (where intent in ('hardship', 'wrong_party', 'request_human', 'dispute')), -1) as stop_turn, count(*) filter (where conf >= 0.75) as actionable
+      from (select distinct conv_id from conversations) c left join t on t.conv_id = c.conv_id group by 1""")
 def x10(spark, d):
-    c = table(spark, d, "conversations")
-    t = c.select("conv_id", "turn", F.get(F.array(*map(F.lit, _INTENTS)), ((F.col("conv_id") + F.col("turn") * 3) % 8).cast("int")).alias("intent"), (((F.col("conv_id") * 7 + F.col("turn") * 13) % 100) / 100.0).alias("conf"))
+    return stop_intents(table(spark, d, "conversations"))
+
+
+def stop_intents(turns: DataFrame) -> DataFrame:
+    """First stop intent of each conversation, from the customer's own words, and the turns clear enough to act on."""
+    said = F.when(F.col("role") == "user", text.turn_intent(F.col("text")))
+    t = turns.select("conv_id", "turn", said.alias("i")).select("conv_id", "turn", "i.intent", F.col("i.confidence").alias("conf"))
     stop = F.when(F.col("intent").isin(*dims.STOP_INTENTS), F.col("turn"))
-    return t.groupBy("conv_id").agg(F.coalesce(F.min_by("intent", stop), F.lit("")).alias("stop_intent"), F.coalesce(F.min(stop), F.lit(-1)).alias("stop_turn"), F.count_if(F.col("conf") >= 0.75).alias("actionable"))
+    return t.groupBy("conv_id").agg(F.coalesce(F.min_by("intent", stop), F.lit("")).alias("stop_intent"), F.coalesce(F.min(stop), F.lit(-1)).alias("stop_turn"), F.count_if(F.coalesce(F.col("conf") >= 0.75, F.lit(False))).alias("actionable"))

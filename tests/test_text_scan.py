@@ -72,3 +72,11 @@ def test_redaction_by_steps_equals_the_chain_and_loops(spark):
         assert (r["redacted"], r["removed"]) == (t, kinds)
         seen.update(kinds)
     assert seen >= {"card", "email", "mobile", "pan"}
+
+
+def test_stop_intents_are_read_from_the_turns(spark):
+    from dunlin.plans.q_models import stop_intents
+    rows = [(1, 0, "user", "Hello. I LOST my job, last week"), (1, 1, "assistant", "wrong number?"), (2, 0, "user", "I will pay tomorrow, call me back"), (2, 1, "user", "This is not a wrong number."),
+            (3, 0, "user", "please let me speak to a human"), (3, 1, "user", "wrong number"), (4, 0, "assistant", "you never took this loan"), (4, 1, "user", None), (5, 0, "user", "I can\'t afford it; no money"), (6, 0, None, "wrong number")]
+    got = {r["conv_id"]: (r["stop_intent"], r["stop_turn"], r["actionable"]) for r in stop_intents(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: ("hardship", 0, 1), 2: ("", -1, 1), 3: ("request_human", 0, 2), 4: ("", -1, 0), 5: ("hardship", 0, 1), 6: ("", -1, 0)}
