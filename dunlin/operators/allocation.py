@@ -299,40 +299,48 @@ def exploration(dist: DataFrame) -> DataFrame:
 def admit(sampled: DataFrame, caps: Mapping[str, int], chunk: int = 65536) -> DataFrame:
     """Admission in value order within the caps, skipping misfits.
 
-    Remaining capacity only shrinks and a cost depends only on the action, so an action that does not
-    fit once never fits again.  Each round therefore finds the first row that overruns and closes its
-    action from that place on: at most one round per action.  A round sums costs per chunk of places
-    and looks inside a single chunk; the table itself is ranked once and never collected.
+    Remaining capacity only shrinks and a cost depends only on the action, so an action that does not fit once never
+    fits again.  The table is ranked once; how often each action stands in each chunk of places (at most 4,096 chunks)
+    says in which chunk the next overrun is, and only that chunk is read to find its row: one small job per closed action.
     """
     cost = dict(zip(dims.BUDGETS, dims.COST_COLUMNS))
     base = sampled.withColumn("_tok", scale.token_number(F.col("subject_token")))
     ranked = scale.running(base, [], scale.value_bucket(base, "adjusted", "_tok", descending=True), [F.col("adjusted").desc(), F.col("subject_token")], rank="place")
-    ranked = materialise(ranked.drop("_tok").withColumn("chunk", F.floor((F.col("place") - 1) / chunk).cast("long")), "ranked")
+    ranked = materialise(ranked.drop("_tok"), "ranked")
+    size = max(chunk, -(-ranked.count() // 4096))
+    number = F.floor((F.col("place") - 1) / size).cast("long")
+    per = ranked.groupBy(number.alias("chunk"), "action").agg(F.count(F.lit(1)).alias("n"), *[F.max(cost[b]).alias(b) for b in caps]).collect()
+    names = sorted({r["action"] for r in per})
+    price = np.zeros((len(names), len(caps)), np.int64)
+    count = np.zeros((1 + max((r["chunk"] for r in per), default=0), len(names)), np.int64)
+    for r in per:
+        count[r["chunk"], names.index(r["action"])] = r["n"]
+        price[names.index(r["action"])] = [r[b] for b in caps]
+    limit = np.array(list(caps.values()), np.int64)
     closed: dict[str, int] = {}
-    tight = {b: c for b, c in caps.items()}
-    for _ in range(len(dims.ACTIONS)):
-        rows = ranked.filter(_open(closed))
-        sums = rows.groupBy("chunk").agg(*[F.sum(cost[b]).alias(b) for b in tight])
-        before = F.sum
-        w = scale.W.orderBy("chunk").rowsBetween(scale.W.unboundedPreceding, scale.W.currentRow)
-        acc = sums.select("chunk", *[before(b).over(w).alias(b) for b in tight], *[F.col(b).alias(f"_{b}") for b in tight])   # one row per chunk
-        over = acc.filter(_any_over(tight)).orderBy("chunk").limit(1).collect()
-        if not over:
+    while True:
+        used = np.cumsum(count @ price, axis=0)
+        over = np.flatnonzero((used > limit).any(axis=1))
+        if not len(over):
             break
-        first = over[0]
-        inside = rows.filter(F.col("chunk") == first["chunk"])
-        wi = scale.W.orderBy("place").rowsBetween(scale.W.unboundedPreceding, scale.W.currentRow)       # at most ``chunk`` rows
-        run = inside.select("place", "action", *[(F.sum(cost[b]).over(wi) + F.lit(int(first[b] - first[f"_{b}"]))).alias(b) for b in tight])
-        miss = run.filter(_any_over(tight)).orderBy("place").limit(1).collect()[0]
+        c = int(over[0])
+        before = dict(zip(caps, (used[c] - count[c] @ price).tolist()))
+        inside = ranked.filter(F.col("place").between(c * size + 1, (c + 1) * size)).filter(_open(closed))
+        wi = scale.W.orderBy("place").rowsBetween(scale.W.unboundedPreceding, scale.W.currentRow)       # the rows of one chunk
+        run = inside.select("place", "action", *[(F.sum(cost[b]).over(wi) + F.lit(before[b])).alias(b) for b in caps],
+                            F.row_number().over(scale.W.partitionBy("action").orderBy("place")).alias("_nth"))
+        miss = run.filter(_any_over(caps)).orderBy("place").limit(1).collect()[0]
         closed[miss["action"]] = miss["place"]
+        k = names.index(miss["action"])
+        count[c, k], count[c + 1:, k] = miss["_nth"] - 1, 0
     fits = _open(closed)
     use = {b: F.when(fits, F.col(cost[b])).otherwise(0) for b in dims.BUDGETS}
-    done = scale.running(ranked, [], F.col("chunk"), [F.col("place")], sums={f"_used_{b}": c for b, c in use.items()})
+    done = scale.running(ranked, [], number, [F.col("place")], sums={f"_used_{b}": c for b, c in use.items()})
     out = done.withColumn("admitted", fits)
     for b in dims.BUDGETS:
         room = F.lit(int(caps[b])) - (F.col(f"_used_{b}") - use[b]) if b in caps else F.lit(NOTHING_ORD)
         out = out.withColumn(f"room_{b}", room.cast("long"))
-    return out.drop("chunk", *[f"_used_{b}" for b in dims.BUDGETS]).withColumn("intended_action", F.when(fits, F.col("action")).otherwise("do_nothing"))
+    return out.drop(*[f"_used_{b}" for b in dims.BUDGETS]).withColumn("intended_action", F.when(fits, F.col("action")).otherwise("do_nothing"))
 
 
 def _open(closed: Mapping[str, int]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dunlin import dims
 from dunlin.functions import hashing, times
 from dunlin.operators import measurement as M
+from dunlin.operators import reservations as R
 from dunlin.operators import scale
 from dunlin.operators import state as S
 from dunlin.plans.registry import query
@@ -149,17 +150,55 @@ def r11(spark, d):
     return out.groupBy("budget").agg(F.count_if(F.col("status") == "expired").alias("expired"), F.sum("credit").alias("credit"))
 
 
-@query("m24_batch_reservation")
+# The next cycle asks for every queued action under a new key; some old keys are asked for again, and some new ones twice.
+CTES["asked"] = f"""select claim_id, claim_no, action, case when epoch_us(not_before) - epoch_us({AT}) <= 900000000 then 'hard' else 'soft' end as tier, claim_no * 4 + n as ord,
+      idempotency_key || case when n = 0 then '' else ':2' end as idempotency_key from outbox join (values (0), (1), (2)) v(n) on n = 1 or (n = 0 and claim_no % 4 = 0) or (n = 2 and claim_no % 9 = 1)"""
+
+
+def asked(spark, d) -> DataFrame:
+    n = F.col("claim_no")
+    which = F.filter(F.array(F.when(n % 4 == 0, 0), F.lit(1), F.when(n % 9 == 1, 2)), lambda x: x.isNotNull())
+    tier = times.reservation_tier(times.seconds_between(F.col("not_before"), B.at_lit()))
+    return B.outbox(spark, d).withColumn("tier", tier).withColumn("n", F.explode(which)).select(
+        F.concat("idempotency_key", F.when(F.col("n") == 0, "").otherwise(":2")).alias("idempotency_key"), (n * 4 + F.col("n")).alias("ord"), "subject_token", "claim_id", "action", "tier")
+
+
+def batch(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and next reservations; the caps are those of ``a21_remaining_budget``."""
+    after = []
+
+    def build():
+        r = reservations(spark, d)
+        outcomes, nxt = R.reserve(asked(spark, d), r, r.groupBy("budget").agg(F.sum("amount").alias("cap")))
+        after.append(nxt)
+        return outcomes
+    outcomes = staged(spark, d, "asked", build)
+    return outcomes, staged(spark, d, "reserved", lambda: after[0])
+
+
+_DIMS = list(zip(dims.BUDGETS, dims.COST_COLUMNS))
+_FITS = " and ".join(f"(o.{c} = 0 or a.{b} + o.{c} <= l.{b})" for b, c in _DIMS)
+_RESERVE = f"""{_CAPS}, hold as (select budget, sum(amount) as held from reservations where status = 'hard' group by 1),
+      l as (select {', '.join(f"cast(coalesce(max(cap - coalesce(held, 0)) filter (where budget = '{b}'), 0) as bigint) as {b}" for b in dims.BUDGETS)} from caps left join hold using (budget)),
+      cost as (select action, {', '.join(dims.COST_COLUMNS)}, {' + '.join(dims.COST_COLUMNS)} > 0 as asks from action_dim),
+      fresh as (select idempotency_key, min(ord) as first_ord from asked where idempotency_key not in (select idempotency_key from reservations) group by 1),
+      o as (select q.*, cost.*, row_number() over (order by ord) as place from asked q join fresh f on f.idempotency_key = q.idempotency_key and f.first_ord = q.ord join cost on cost.action = q.action where asks and tier = 'hard'),
+      fold as (select cast(0 as bigint) as place, cast('' as varchar) as k, false as ok, {', '.join(f"cast(0 as bigint) as {b}" for b in dims.BUDGETS)}
+        union all select o.place, o.idempotency_key, {_FITS}, {', '.join(f"a.{b} + case when {_FITS} then o.{c} else 0 end" for b, c in _DIMS)} from fold a join o on o.place = a.place + 1, l)"""
+
+
+@query("m24_batch_reservation", f"""with recursive {_RESERVE} select q.ord, q.claim_id, q.action, case when not asks then 'free' when f.idempotency_key is null then 'reused' when (q.tier = 'soft' or fold.ok) and q.ord > f.first_ord then 'reused'
+      when q.tier = 'soft' then 'soft' when fold.ok then 'hard' else 'refused' end as outcome from asked q join cost on cost.action = q.action left join fresh f on f.idempotency_key = q.idempotency_key left join fold on fold.k = q.idempotency_key""")
 def m24(spark, d):
-    """New reservations admitted in claim order within what is left, all six budgets or none; known keys are skipped."""
-    from dunlin.operators import allocation as L
-    o = B.outbox(spark, d)
-    known = reservations(spark, d).filter(F.col("status") == "hard").select("idempotency_key").distinct()
-    want = o.join(known, "idempotency_key", "left_anti").join(F.broadcast(dims.action_dim(spark).select("action", *dims.COST_COLUMNS)), "action")
-    n = want.count()
-    rows = want.select("subject_token", "claim_id", "action", *dims.COST_COLUMNS, (-F.col("claim_no")).cast("double").alias("adjusted"))
-    caps = {"contact": max(n // 4, 1), "voice": max(n // 12, 1), "rupee": max(n * 60, 1), "retry": max(n // 8, 1)}
-    return L.admit(rows, caps).select("place", "claim_id", "action", "admitted", "room_contact", "room_retry")
+    """A batch of requests against what is left of six caps, each whole or not at all, each key once."""
+    return batch(spark, d)[0].select("ord", "claim_id", "action", "outcome")
+
+
+@query("m24_reserved_budgets", f"""with recursive {_RESERVE}, rows_after as (select budget, status, amount from reservations union all select b.budget, 'hard', b.amount from o join fold on fold.k = o.idempotency_key and ok cross join lateral (select unnest([{', '.join(f"'{b}'" for b in dims.BUDGETS)}]) as budget, unnest([{', '.join(f'o.{c}' for c in dims.COST_COLUMNS)}]) as amount) b where b.amount > 0
+        union all select b.budget, 'soft', b.amount from fresh f join asked q on q.idempotency_key = f.idempotency_key and q.ord = f.first_ord and q.tier = 'soft' join cost on cost.action = q.action cross join lateral (select unnest([{', '.join(f"'{b}'" for b in dims.BUDGETS)}]) as budget, unnest([{', '.join(f'cost.{c}' for c in dims.COST_COLUMNS)}]) as amount) b where b.amount > 0)
+      select budget, status, count(*) as n, cast(sum(amount) as bigint) as amount from rows_after group by 1, 2""")
+def m24_budgets(spark, d):
+    return batch(spark, d)[1].groupBy("budget", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
 
 
 # ---- money ----------------------------------------------------------------------------------------------
