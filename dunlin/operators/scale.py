@@ -61,14 +61,14 @@ BUCKET_ROWS, GRID = 250_000, 4096
 
 
 def cut_points(df: DataFrame, column: str, n: int | None = None) -> list:
-    """Approximate quantiles of a numeric column: as many as the number of rows calls for, 64 at least.
+    """Approximate quantiles of a numeric column: as many as the number of rows calls for, 8 at least.
 
     One aggregation gives the row count and the grid; only the balance of the buckets depends on their
     accuracy, never a result.
     """
-    probs = [i / GRID for i in range(1, GRID)]
-    row = df.agg(F.percentile_approx(column, probs, 4 * GRID).alias("q"), F.count(column).alias("n")).first()
-    n = n or min(GRID, max(64, row["n"] // BUCKET_ROWS))
+    grid = ", ".join(f"{i / GRID!r}D" for i in range(1, GRID))       # one text to parse, not a call to the JVM per number
+    row = df.agg(F.expr(f"percentile_approx(`{column}`, array({grid}), {4 * GRID})").alias("q"), F.count(column).alias("n")).first()
+    n = n or min(GRID, max(8, row["n"] // BUCKET_ROWS))
     every = row["q"] or []
     return sorted(set(every[i * len(every) // n] for i in range(1, n) if every))
 
