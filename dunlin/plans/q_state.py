@@ -179,10 +179,10 @@ def batch(spark, d) -> tuple[DataFrame, DataFrame]:
 _DIMS = list(zip(dims.BUDGETS, dims.COST_COLUMNS))
 _FITS = " and ".join(f"(o.{c} = 0 or a.{b} + o.{c} <= l.{b})" for b, c in _DIMS)
 _RESERVE = f"""{_CAPS}, hold as (select budget, sum(amount) as held from reservations where status = 'hard' group by 1),
-      l as (select {', '.join(f"cast(coalesce(max(cap - coalesce(held, 0)) filter (where budget = '{b}'), 0) as bigint) as {b}" for b in dims.BUDGETS)} from caps left join hold using (budget)),
+      l as materialized (select {', '.join(f"cast(coalesce(max(cap - coalesce(held, 0)) filter (where budget = '{b}'), 0) as bigint) as {b}" for b in dims.BUDGETS)} from caps left join hold using (budget)),
       cost as (select action, {', '.join(dims.COST_COLUMNS)}, {' + '.join(dims.COST_COLUMNS)} > 0 as asks from action_dim),
       fresh as (select idempotency_key, min(ord) as first_ord from asked where idempotency_key not in (select idempotency_key from reservations) group by 1),
-      o as (select q.*, cost.*, row_number() over (order by ord) as place from asked q join fresh f on f.idempotency_key = q.idempotency_key and f.first_ord = q.ord join cost on cost.action = q.action where asks and tier = 'hard'),
+      o as materialized (select q.*, cost.*, row_number() over (order by ord) as place from asked q join fresh f on f.idempotency_key = q.idempotency_key and f.first_ord = q.ord join cost on cost.action = q.action where asks and tier = 'hard'),
       fold as (select cast(0 as bigint) as place, cast('' as varchar) as k, false as ok, {', '.join(f"cast(0 as bigint) as {b}" for b in dims.BUDGETS)}
         union all select o.place, o.idempotency_key, {_FITS}, {', '.join(f"a.{b} + case when {_FITS} then o.{c} else 0 end" for b, c in _DIMS)} from fold a join o on o.place = a.place + 1, l)"""
 
