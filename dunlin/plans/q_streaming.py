@@ -91,7 +91,7 @@ def account_final(spark, d) -> DataFrame:
     """Deduplicated events land in a folder; the account state is a stream over that folder."""
     out, ded = scratch_path(spark, "accounts-in"), J.dedupe(accepted_stream(spark, d))
     J.drain(ded, path=out)
-    parts = J.updates(keyed.account_state(J.stream(spark, out, ded.schema)), ["account_ref", "salt", "epoch"], "accounts")
+    parts = J.updates(keyed.account_state(J.stream_by_size(spark, out, ded.schema)), ["account_ref", "salt", "epoch"], "accounts")
     return keyed.account_totals(parts)
 
 

@@ -44,6 +44,16 @@ def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: Bytes of a micro-batch that is cut by size.
+BATCH_BYTES = 512 << 20
+
+
+def stream_by_size(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream over what another stream wrote: that is a file for each of its tasks, so batches are cut by bytes, for
+    a key costs its state once in every batch that touches it."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
+
+
 def drain(df: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", path: str | None = None, state: str | None = None) -> None:
     """Run the stream until its input is consumed.
 
