@@ -285,11 +285,13 @@ def propensities(candidates: DataFrame, prices: Mapping[str, float], temperature
 def sample(dist: DataFrame, seed: str) -> DataFrame:
     """One branch per subject: the first, in candidate order, whose cumulative probability exceeds the
     subject's reproducible draw."""
-    run = scale.running(dist.select("subject_token", "ord", "p"), ["subject_token"], F.floor(F.col("ord") / 65536), [F.col("ord")], sums={"_cum": F.col("p")})
+    # a bucket for each subject, cut only where one has very many candidates
+    run = scale.running(dist, ["subject_token"], F.lit(0).cast("long"), [F.col("ord")], sums={"_cum": F.col("p")}, split=scale.BUCKET_ROWS)
     draw = hashing.unit_draw(F.concat_ws(hashing.SEP, F.lit(seed), F.col("subject_token")))
     hit = run.filter((F.col("_cum") > draw) | (F.col("ord") == NOTHING_ORD))
-    pick = hit.groupBy("subject_token").agg(F.min(F.struct("_cum", "ord")).alias("b")).select("subject_token", F.col("b.ord").alias("ord"))
-    return dist.join(pick, ["subject_token", "ord"], "left_semi")       # only the keys go through the ordering, not the rows
+    keep = [c for c in dist.columns if c != "subject_token"]
+    g = hit.groupBy("subject_token").agg(F.min_by(F.struct(*keep), F.struct("_cum", "ord")).alias("b"))
+    return g.select("subject_token", "b.*")
 
 
 def exploration(dist: DataFrame) -> DataFrame:
