@@ -52,6 +52,12 @@ def action_rank() -> Column:
     return dims.lookup(F.col("action"), {n: i for i, n in enumerate(names)}, 15)
 
 
+def pool(claims: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Subjects with a claim and not of a control arm, once each: those that get a do_nothing."""
+    treat = subjects.filter(~F.col("arm").isin(*dims.CONTROL_ARMS)).select("subject_token")
+    return claims.select("subject_token").distinct().join(treat.distinct(), "subject_token", "left_semi")
+
+
 def build_candidates(eligible: DataFrame, claims: DataFrame, subjects: DataFrame, uplift: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates, drops).
 
@@ -74,7 +80,7 @@ def build_candidates(eligible: DataFrame, claims: DataFrame, subjects: DataFrame
                        (F.col("contact") == 0).alias("is_silent"), (F.col("claim_no") * 16 + action_rank()).alias("ord"))
     have = actionable.select("claim_id").distinct()
     gone = mine.join(have, "claim_id", "left_anti").select("subject_token", "claim_id", F.lit("gate_ineligible").alias("reason"))
-    people = mine.select("subject_token").distinct()
+    people = pool(claims, subjects)
     nothing = people.select("subject_token", F.lit(None).cast("string").alias("claim_id"), F.lit(-1).cast("long").alias("claim_no"), F.lit("do_nothing").alias("action"),
                             F.lit(0.0).alias("value"), *[F.lit(0).cast("long").alias(c) for c in dims.COST_COLUMNS], F.lit(0.0).alias("uplift"),
                             F.lit(True).alias("is_silent"), F.lit(NOTHING_ORD).alias("ord"))
