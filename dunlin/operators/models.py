@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dunlin.functions import hashing, stats
 from dunlin.operators import scale
+from dunlin.session import materialise
 
 COLD_MIN, COLD_BOOST, DEGRADED_BOOST, MIN_WIDTH = 50, 0.15, 0.05, 0.10
 MIN_ARM = 60
@@ -134,18 +135,31 @@ def person_periods(promises: DataFrame) -> DataFrame:
     return x.withColumn("label", (F.col("kept") & (F.col("period") == F.col("_n"))).cast("double")).withColumn("weight", stats.inverse_weight(F.col("selection_propensity"))).drop("_n")
 
 
-def fit_hazard(periods: DataFrame, names: list[str], trees: int = 8, seed: int = 5):
-    asm = VectorAssembler(inputCols=[*names, "period", "horizon_days"], outputCol="features")
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.3, minInstancesPerNode=40, seed=seed)
-    return Pipeline(stages=[asm, gbt]).fit(periods)
-
-
-def survival(model, promises: DataFrame, key: str) -> DataFrame:
-    """Probability of being kept within the horizon: one minus the product of (1 - hazard)."""
-    h = F.greatest(F.least(F.col("horizon_days"), F.lit(MAX_HORIZON)), F.lit(1)).cast("int")
-    x = promises.withColumn("horizon_days", h).withColumn("period", F.explode(F.sequence(F.lit(1), h)))
+def fit_hazard(periods: DataFrame, names: list[str], trees: int = 8, seed: int = 5, count: str | None = None):
+    """Boosted trees over the different (features, label, weight) of the periods, each weighed by how many periods have it, so
+    that what the trees read and keep grows with the different rows only.  ``count`` names a column of how many periods a row
+    stands for.  A leaf holds the weight of 40 periods at least (not in tables of fewer than 80 periods)."""
+    columns = [*names, "period", "horizon_days"]
+    n = F.sum(F.col(count)) if count else F.count(F.lit(1))
+    rows = periods.groupBy(*columns, "label", "weight").agg(n.alias("_n")).withColumn("weight", F.col("weight") * F.col("_n"))
+    rows = materialise(rows.sortWithinPartitions(*columns, "label", "weight"), "hazard")
+    total = rows.agg(F.sum("_n")).first()[0] or 0
+    asm = VectorAssembler(inputCols=columns, outputCol="features")
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.3, minWeightFractionPerNode=min(40 / max(total, 1), 0.49), seed=seed)
+    return Pipeline(stages=[asm, gbt]).fit(rows)
+
+
+def survival(model, promises: DataFrame) -> DataFrame:
+    """Add ``p_kept``, the probability of being kept within the horizon: one minus the product of (1 - hazard).
+
+    The model is asked once for each different (features, horizon)."""
+    names = [c for c in model.stages[0].getInputCols() if c not in ("period", "horizon_days")]
+    keys = [*names, "horizon_days"]
+    h = F.greatest(F.least(F.col("_given"), F.lit(MAX_HORIZON)), F.lit(1)).cast("int")
+    x = promises.select(*names, F.col("horizon_days").alias("_given")).distinct().withColumn("horizon_days", h).withColumn("period", F.explode(F.sequence(F.lit(1), h)))
     p = model.transform(x).withColumn("_h", F.least(F.greatest(vector_to_array("probability")[1], F.lit(0.0)), F.lit(1.0 - 1e-12)))
-    return p.groupBy(key).agg((1 - F.exp(F.sum(F.log1p(-F.col("_h"))))).alias("p_kept"))
+    p = p.groupBy(*names, F.col("_given").alias("horizon_days")).agg((1 - F.exp(F.sum(F.log1p(-F.col("_h"))))).alias("p_kept"))
+    return promises.join(p, keys)
 
 
 def promise_report(promises: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from dunlin.operators import scale
 from dunlin.plans.q_functions import _PROMISE_SQL, promise_table
 from dunlin.plans.registry import query
 from dunlin.plans.sqlbridge import AT, CTES, pick
-from dunlin.session import spread, staged, table
+from dunlin.session import materialise, spread, staged, table
 from dunlin.sources import bridge as B
 
 # ---- features ------------------------------------------------------------------------------------------
@@ -226,10 +226,13 @@ def m06p(spark, d):
 @query("m06_promise_hazard")
 def m06(spark, d):
     """Kept probability per promise horizon from the weighted discrete hazard of one feature, over the promises that it was fitted on."""
+    # promises that the model cannot tell apart are one row with their number; everything after this reads that table
     rows = promise_rows(spark, d).withColumn("horizon_days", F.col("horizon_days").cast("double"))
-    model = L.fit_hazard(L.person_periods(rows), ["f_size"])
-    s = L.survival(model, rows.select("claim_no", "f_size", "horizon_days"), "claim_no").join(rows.select("claim_no", "horizon_days", "kept"), "claim_no")
-    return s.groupBy("horizon_days").agg(F.count(F.lit(1)).alias("n"), F.avg("p_kept").alias("mean_p"), F.avg(F.col("kept").cast("double")).alias("observed"))
+    rows = materialise(rows.groupBy("f_size", "horizon_days", "observed_days", "kept", "selection_propensity").agg(F.count(F.lit(1)).alias("n")), "promise_cells")
+    model = L.fit_hazard(L.person_periods(rows), ["f_size"], count="n")
+    s = L.survival(model, rows.select("f_size", "horizon_days", "kept", "n"))
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    return s.groupBy("horizon_days").agg(F.sum("n").alias("n"), mean(F.col("p_kept")).alias("mean_p"), mean(F.col("kept").cast("double")).alias("observed"))
 
 
 @query("j21_promise_membership", "select cust, bool_or(promised) as promised from decisions where action in ('sms', 'voice_call', 'email') group by 1")
