@@ -8,7 +8,7 @@ subject holds, and every probe of the search is one scan of that compact table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,16 +61,16 @@ def pool(claims: DataFrame, subjects: DataFrame) -> DataFrame:
 def build_candidates(eligible: DataFrame, claims: DataFrame, subjects: DataFrame, uplift: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates, drops).
 
-    ``eligible`` holds (claim_id, action) that survived projection; ``claims`` the claim facts with
-    ``subject_token`` and ``claim_no``; ``subjects`` (subject_token, arm, contacts_7d).  Control-arm
-    subjects leave, every other subject gets exactly one do_nothing.
+    ``eligible`` has a row per claim with its facts, ``subject_token``, ``claim_no`` and ``actions``, those that survived
+    projection; ``claims`` every claim (claim_id, subject_token); ``subjects`` (subject_token, arm, contacts_7d).  Control-arm
+    subjects leave, every other subject gets exactly one do_nothing.  Claims meet their subjects before they become a row
+    per action, and the subjects' side is hashed, so that no row per action is exchanged or sorted.
     """
     treat = subjects.filter(~F.col("arm").isin(*dims.CONTROL_ARMS))
     control = subjects.filter(F.col("arm").isin(*dims.CONTROL_ARMS)).select(
         "subject_token", F.lit(None).cast("string").alias("claim_id"), F.lit("control_arm").alias("reason"))
-    mine = claims.join(treat, "subject_token")
-    actionable = eligible.filter(F.col("action") != "do_nothing").select("claim_id", "action")
-    rich = actionable.join(mine, "claim_id")
+    actionable = eligible.withColumn("actions", F.array_remove("actions", "do_nothing")).filter(F.size("actions") > 0)
+    rich = actionable.join(treat.hint("shuffle_hash"), "subject_token").withColumn("action", F.explode("actions"))
     fields = ["rupee_paise", "intrusion", "base_uplift", "contact", "voice_minutes", "retry_attempts", "human_minutes", "concession_paise"]
     rich = rich.withColumn("_a", F.get(F.filter(dims.action_structs(["action", *fields]), lambda s: s["action"] == F.col("action")), F.lit(0)))
     rich = rich.select("*", *[F.col("_a")[f].alias(f) for f in fields])
@@ -78,13 +78,13 @@ def build_candidates(eligible: DataFrame, claims: DataFrame, subjects: DataFrame
     value = stats.candidate_value(F.col("uplift"), F.col("amount_paise"), F.col("ltv_remaining_paise"), F.col("rupee_paise"), F.col("intrusion"), F.col("contacts_7d"))
     cand = rich.select("subject_token", "claim_id", "claim_no", "action", value.alias("value"), *dims.COST_COLUMNS, "uplift",
                        (F.col("contact") == 0).alias("is_silent"), (F.col("claim_no") * 16 + action_rank()).alias("ord"))
-    have = actionable.select("claim_id").distinct()
-    gone = mine.join(have, "claim_id", "left_anti").select("subject_token", "claim_id", F.lit("gate_ineligible").alias("reason"))
+    gone = (claims.select("claim_id", "subject_token").join(actionable.select("claim_id"), "claim_id", "left_anti").join(treat.select("subject_token"), "subject_token")
+            .select("subject_token", "claim_id", F.lit("gate_ineligible").alias("reason")))
     people = pool(claims, subjects)
     nothing = people.select("subject_token", F.lit(None).cast("string").alias("claim_id"), F.lit(-1).cast("long").alias("claim_no"), F.lit("do_nothing").alias("action"),
                             F.lit(0.0).alias("value"), *[F.lit(0).cast("long").alias(c) for c in dims.COST_COLUMNS], F.lit(0.0).alias("uplift"),
                             F.lit(True).alias("is_silent"), F.lit(NOTHING_ORD).alias("ord"))
-    empty = people.join(mine.join(have, "claim_id", "left_semi").select("subject_token").distinct(), "subject_token", "left_anti").select(
+    empty = people.join(actionable.select("subject_token").distinct(), "subject_token", "left_anti").select(
         "subject_token", F.lit(None).cast("string").alias("claim_id"), F.lit("no_eligible_action").alias("reason"))
     return cand.unionByName(nothing), control.unionByName(gone).unionByName(empty)
 
@@ -253,17 +253,18 @@ def adjusted(prices: Mapping[str, float]) -> Column:
     return out
 
 
-def best_per_subject(candidates: DataFrame, prices: Mapping[str, float]) -> DataFrame:
-    """Argmax of adjusted value, the earliest on ties (a partially aggregated max, no window)."""
-    a = candidates.withColumn("adjusted", adjusted(prices))
-    keep = [c for c in a.columns if c != "subject_token"]
-    g = a.groupBy("subject_token").agg(F.max_by(F.struct(*keep), F.struct(F.col("adjusted"), (-F.col("ord")).alias("o"))).alias("b"))
+def best_per_subject(candidates: DataFrame, prices: Mapping[str, float], columns: Sequence[str] | None = None) -> DataFrame:
+    """Argmax of adjusted value, the earliest on ties (a partially aggregated max, no window): ``adjusted`` and the
+    columns named (all but the costs' and the like are worth leaving out: what is kept is sorted in every map task)."""
+    keep = [c for c in columns or candidates.columns if c != "subject_token"]
+    a = candidates.select("subject_token", *keep, adjusted(prices).alias("adjusted"), F.col("ord").alias("_ord"))
+    g = a.groupBy("subject_token").agg(F.max_by(F.struct(*keep, "adjusted"), F.struct(F.col("adjusted"), (-F.col("_ord")).alias("o"))).alias("b"))
     return g.select("subject_token", "b.*")
 
 
 def bottom_tenth(candidates: DataFrame, prices: Mapping[str, float]) -> DataFrame | None:
-    """The lowest tenth (at least one) of treated subjects by adjusted value, ties in token order."""
-    t = best_per_subject(candidates, prices).filter((F.col("action") != "do_nothing") & (F.col("adjusted") > 0)).withColumn("_tok", scale.token_number(F.col("subject_token")))
+    """The lowest tenth (at least one) of treated subjects by adjusted value, ties in token order: claim_id, action, ord, adjusted."""
+    t = best_per_subject(candidates, prices, ["claim_id", "action", "ord"]).filter((F.col("action") != "do_nothing") & (F.col("adjusted") > 0)).withColumn("_tok", scale.token_number(F.col("subject_token")))
     t = materialise(t, "treated")
     if t.limit(1).count() == 0:
         return None
@@ -276,27 +277,29 @@ def propensities(candidates: DataFrame, prices: Mapping[str, float], temperature
     """Soft-max of adjusted values on the subject's own spread, mixed with a uniform floor.
 
     Subject maxima and sums are partially aggregated and joined back, so a subject with very many
-    candidates is never sorted or collected.
+    candidates is never sorted or collected; of each join the side with a row per subject is hashed, so that the
+    candidates are exchanged once, for both joins, and not sorted.
     """
     a = candidates.withColumn("adjusted", adjusted(prices))
     s = a.groupBy("subject_token").agg(F.max("adjusted").alias("_hi"), F.min("adjusted").alias("_lo"), F.count(F.lit(1)).alias("n_options"))
-    j = a.join(s, "subject_token")
+    j = a.join(s.hint("shuffle_hash"), "subject_token")
     spread = F.col("_hi") - F.col("_lo")
     j = j.withColumn("_w", F.when(spread <= SPREAD_FLOOR, 1.0).otherwise(F.exp((F.col("adjusted") - F.col("_hi")) / (temperature * spread))))
     tot = j.groupBy("subject_token").agg(F.sum("_w").alias("_t"))
-    j = j.join(tot, "subject_token")
+    j = j.join(tot.hint("shuffle_hash"), "subject_token")
     return j.withColumn("p", (1 - epsilon) * F.col("_w") / F.col("_t") + epsilon / F.col("n_options")).drop("_lo", "_w", "_t").withColumnRenamed("_hi", "best_adjusted")
 
 
 def sample(dist: DataFrame, seed: str) -> DataFrame:
     """One branch per subject: the first, in candidate order, whose cumulative probability exceeds the
     subject's reproducible draw."""
-    # a bucket for each subject, cut only where one has very many candidates
-    run = scale.running(dist, ["subject_token"], F.lit(0).cast("long"), [F.col("ord")], sums={"_cum": F.col("p")}, split=scale.BUCKET_ROWS)
+    # a bucket for each subject, cut only where one has very many candidates; only what the draw needs goes through the order
+    run = scale.running(dist.select("subject_token", "ord", "p"), ["subject_token"], F.lit(0).cast("long"), [F.col("ord")], sums={"_cum": F.col("p")}, split=scale.BUCKET_ROWS)
     draw = hashing.unit_draw(F.concat_ws(hashing.SEP, F.lit(seed), F.col("subject_token")))
     hit = run.filter((F.col("_cum") > draw) | (F.col("ord") == NOTHING_ORD))
+    pick = hit.groupBy("subject_token").agg(F.min(F.struct("_cum", "ord")).alias("b")).select("subject_token", F.col("b.ord").alias("_ord"))
     keep = [c for c in dist.columns if c != "subject_token"]
-    g = hit.groupBy("subject_token").agg(F.min_by(F.struct(*keep), F.struct("_cum", "ord")).alias("b"))
+    g = dist.join(pick.hint("shuffle_hash"), "subject_token").filter(F.col("ord") == F.col("_ord")).groupBy("subject_token").agg(F.min_by(F.struct(*keep), "p").alias("b"))
     return g.select("subject_token", "b.*")
 
 
