@@ -18,12 +18,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import pieces, read, scratch_path
+from dunlin.llm.common import PIECE_BYTES, pieces, read, scratch_path
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -151,7 +152,9 @@ class Encoder:
     def learn(self, new: list[str]) -> dict[str, bytes]:
         out, cut = {}, {}
         for x in new:
-            if self.simple(x) and "<|" not in x:
+            if x.isascii() and x.isalpha():      # one word
+                cut[x] = [x.lower()]
+            elif self.simple(x) and "<|" not in x:
                 cut[x] = self.find(x.lower())
             else:
                 out[x] = self.raw(x)
@@ -168,9 +171,13 @@ class Encoder:
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        held = set().union(*parts)
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow cuts the texts and numbers their different pieces; only these are looked up, and numpy lays out their ids."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))      # no piece has a blank
+        held, number = pc.binary_join(one, " ")[0].as_py().split(" "), coded.indices.to_numpy(zero_copy_only=False)
         memo = self.pieces
         new = [x for x in held if x not in memo]
         if new:
@@ -178,7 +185,15 @@ class Encoder:
                 memo = {x: memo[x] for x in held if x in memo}
             memo |= self.learn(new)
             self.pieces = memo if sum(map(len, new)) < self.LONG * len(new) else {k: v for k, v in memo.items() if len(k) <= self.LONG}
-        return [b"".join(map(memo.__getitem__, x)) for x in parts]
+        raw = [memo[x] for x in held]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        own = size[number]                     # ids of every piece, and where they stand in the output and among the different ones
+        ends = np.cumsum(own)
+        at = np.repeat((np.cumsum(size) - size)[number] - (ends - own), own)
+        at += np.arange(len(at))
+        out = np.frombuffer(b"".join(raw), "<u4")[at].tobytes()
+        first = np.append(0, 4 * ends)[parts.offsets.to_numpy()].tolist()
+        return [out[i:j] for i, j in zip(first, first[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -211,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             keys, ids, held, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict({n: pa.array([v], type=t) for (n, t), v in zip(ARROW, row)})
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 4 * PIECE_BYTES):      # the more words at once, the fewer different ones
                 found = encode([x or "" for x in piece.column("text").to_pylist()])
                 for key, x in zip(piece.column("doc_id").to_pylist(), found):
                     keys.append(key)
