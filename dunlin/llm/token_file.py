@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from dunlin.llm.common import PIECE_BYTES, pieces, read, scratch_path
 
 BLOCK = 128
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PERCENTILE = 0.9
 #: Ids after which a segment ends; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
@@ -151,14 +152,25 @@ class Encoder:
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         out, cut = {}, {}
+        single = [x for x in new if x.isascii() and x.isalpha()]      # one word each
+        lower = " ".join(single).lower().split(" ")
         for x in new:
-            if x.isascii() and x.isalpha():      # one word
-                cut[x] = [x.lower()]
-            elif self.simple(x) and "<|" not in x:
-                cut[x] = self.find(x.lower())
+            if x.isascii():
+                if x.isalpha():
+                    continue
+                plain = x.isprintable()
+            else:
+                plain = self.simple(x)
+            if plain and "<|" not in x:
+                core = x.strip(MARKS)
+                if core.isalpha() and core.isascii():      # a word between marks, as the pattern cuts it
+                    at = x.index(core)
+                    cut[x] = [y for y in (x[:at], core.lower(), x[at + len(core):]) if y]
+                else:
+                    cut[x] = self.find(x.lower())
             else:
                 out[x] = self.raw(x)
-        held = set().union(*cut.values())
+        held = set(lower if single else ()).union(*cut.values())
         words = self.words
         unknown = [x for x in held if x not in words]
         if unknown:
@@ -166,6 +178,8 @@ class Encoder:
                 words = {x: words[x] for x in held if x in words}
             words |= self.learn_words(unknown)
             self.words = words if sum(map(len, unknown)) < self.LONG * len(unknown) else {k: v for k, v in words.items() if len(k) <= self.LONG}
+        if single:
+            out.update(zip(single, map(words.__getitem__, lower)))
         for x, y in cut.items():
             out[x] = words[y[0]] if len(y) == 1 else b"".join([words[z] for z in y])
         return out
